@@ -76,3 +76,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     import tempfile
 
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="pixelweave-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage between the rounds of an iterative operator.
+
+    The round is written once to the shared checkpoint folder and read back, so a lost executor
+    re-reads a table instead of replaying all rounds, and the next plan knows the real size.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -46,7 +46,9 @@ def radial_gradient(images: DataFrame, c0, c1, mode="radial", radius=1.0, inner=
     unit = F.greatest(d(1e-6), F.least(d("w"), d("h")) / 2)
     dx, dy = d("x") + 0.5 - d("w") / 2, d("y") + 0.5 - d("h") / 2
     if mode == "conic":
-        turn = F.atan2(dx, -dy) / (math.pi * 2) + (-angle / 360)
+        # atan2 here drops the sign of zero: the exact centre is half a turn
+        bearing = F.when((dx == 0) & (dy == 0), d(math.pi)).otherwise(F.atan2(dx, -dy))
+        turn = bearing / (math.pi * 2) + (-angle / 360)
         return ramp(g, c0, c1, (turn % d(1) + 1.0) % d(1))
     g = g.withColumns({"_d": F.sqrt(dx * dx + dy * dy), "_u": unit})
     dist, unit = F.col("_d"), F.col("_u")
