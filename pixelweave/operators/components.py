@@ -21,6 +21,7 @@ def connected_components(links: DataFrame, keys: list[str] | None = None) -> Dat
     keys = keys or []
     both = links.filter("a <> b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(both)
+    n_edges = edges.count()
     nodes = links.select(*keys, F.col("a").alias("id")).union(links.select(*keys, F.col("b").alias("id"))).distinct()
     while True:
         # large star: link every larger neighbour of a node to the node's smallest neighbour
@@ -33,10 +34,10 @@ def connected_components(links: DataFrame, keys: list[str] | None = None) -> Dat
         low = large.groupBy(*keys, "u").agg(F.min("v").alias("lo"))
         small = large.join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("lo").alias("v")).filter("u <> v")
         nxt = cut(small.union(low.select(*keys, "u", F.col("lo").alias("v"))).distinct())
-        same = nxt.join(edges, [*keys, "u", "v"], "left_anti").isEmpty()
-        if same and edges.join(nxt, [*keys, "u", "v"], "left_anti").isEmpty():
+        n_next = nxt.count()  # footers only
+        if n_next == n_edges and nxt.join(edges, [*keys, "u", "v"], "left_anti").isEmpty():
             break
-        edges = nxt
+        edges, n_edges = nxt, n_next
     star = edges.select(*keys, F.col("u").alias("id"), F.col("v").alias("label"))
     return nodes.join(star, [*keys, "id"], "left").select(*keys, "id", F.coalesce("label", "id").alias("label"))
 

@@ -247,8 +247,8 @@ def sanitize_edges(raw: DataFrame, nodes: DataFrame, ports: DataFrame | None = N
     bad = checked.filter("reason is not null")
     t = checked.filter("reason is null").withColumns({
         "k_id": F.col("id"),
-        "k_end": F.to_json(F.array("source", "source_port", "target", "target_port")),
-        "k_one": F.when(F.col("single"), F.to_json(F.array("target", "target_port"))),
+        "k_end": F.to_json(F.struct("source", "source_port", "target", "target_port")),
+        "k_one": F.when(F.col("single"), F.to_json(F.struct("target", "target_port"))),
     })
     keys = ["k_id", "k_end", "k_one"]
     left, taken, dropped = t, [], []
@@ -306,14 +306,14 @@ def drop_back_edges(edges: DataFrame, task_edges: int = 20000) -> DataFrame:
 
     plain = edges.filter("source <> target")
     nodes = plain.select(F.col("source").alias("id")).union(plain.select(F.col("target").alias("id"))).distinct()
-    stuck = find_cycles(nodes, plain)
-    back = find_cycles(nodes, plain.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    core_nodes = cut(stuck.join(back, "id", "left_semi"))
+    stuck = cut(find_cycles(nodes, plain))
+    if stuck.isEmpty():
+        return plain
+    # nodes that cannot be ordered from either end; the second peel only sees what the first left
+    core_nodes = cut(find_cycles(stuck, plain.select(F.col("target").alias("source"), F.col("source").alias("target"))))
     core = plain.join(core_nodes.withColumnRenamed("id", "source"), "source", "left_semi")
     core = cut(core.join(core_nodes.withColumnRenamed("id", "target"), "target", "left_semi"))
     loose = plain.join(core.select("ord"), "ord", "left_anti").select("ord")
-    if core.isEmpty():
-        return edges.join(loose, "ord", "left_semi")
     labels = connected_components(core.select(F.col("source").alias("a"), F.col("target").alias("b")))
     core = cut(core.join(labels.select(F.col("id").alias("source"), F.col("label").alias("_c")), "source"))
     size = core.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))

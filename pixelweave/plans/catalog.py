@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (  # noqa: F401
+    catalog_flow,
     catalog_graph,
     catalog_raster,
 )

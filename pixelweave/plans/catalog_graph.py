@@ -97,7 +97,8 @@ query("G2_ancestors", K.sql("SELECT node AS root, root AS node FROM cl", _DAG, _
 
 def pairs(s, sf):
     k = F.col("p_partkey")
-    return fx.table(s, sf, "part").select(k.alias("src"), F.explode(F.array(F.floor(k / 6), F.floor(k / 5), F.floor(k / 12) + 1, k)).cast("long").alias("dst")).distinct()
+    return fx.table(s, sf, "part").select(
+        k.alias("src"), F.explode(F.array(F.floor(k / 6), F.floor(k / 5), F.floor(k / 12) + 1, k)).alias("dst")).distinct()
 
 
 _PAIRS = "pr AS (SELECT DISTINCT p_partkey AS src, d AS dst FROM part, LATERAL (SELECT unnest([p_partkey//6, p_partkey//5, p_partkey//12+1, p_partkey]) AS d))"
@@ -109,18 +110,18 @@ query("G4_would_cycle", K.sql("SELECT dst AS source, src AS target, src = dst OR
 
 
 def cyclic_edges(s, sf):
-    """F7 plus a back edge from k to 5k + 1 for every seventh node."""
+    """F7 plus a back edge from k to 6k + 1 for every seventh node."""
     p = fx.table(s, sf, "part").select("p_partkey")
     e = dag_edges(s, sf)
     n = p.agg(F.max("p_partkey").alias("m"))
-    back = p.join(F.broadcast(n)).filter("p_partkey % 7 = 6 and 5 * p_partkey + 1 <= m").select(  # one-row side
+    back = p.join(F.broadcast(n)).filter("p_partkey % 7 = 6 and 6 * p_partkey + 1 <= m").select(  # one-row side
         (F.col("p_partkey") * 10 + 5).alias("ord"), F.concat(F.lit("b"), F.col("p_partkey")).alias("id"), F.col("p_partkey").alias("source"),
-        F.lit("out").alias("source_port"), (F.col("p_partkey") * 5 + 1).alias("target"), F.lit("a").alias("target_port"))
+        F.lit("out").alias("source_port"), (F.col("p_partkey") * 6 + 1).alias("target"), F.lit("a").alias("target_port"))
     return e.union(back)
 
 
 _CYC = ("cy AS (SELECT ord, id, source, source_port, target, target_port FROM dg UNION ALL SELECT p_partkey*10+5, 'b' || p_partkey, p_partkey, 'out', "
-        "5*p_partkey+1, 'a' FROM part WHERE p_partkey%7=6 AND 5*p_partkey+1 <= (SELECT max(p_partkey) FROM part))")
+        "6*p_partkey+1, 'a' FROM part WHERE p_partkey%7=6 AND 6*p_partkey+1 <= (SELECT max(p_partkey) FROM part))")
 query("G5_find_cycles", K.sql(
     "SELECT DISTINCT p_partkey AS id FROM part WHERE p_partkey IN (SELECT root FROM cl WHERE root = node) OR p_partkey IN "
     "(SELECT c.node FROM cl c WHERE c.root IN (SELECT root FROM cl WHERE root = node))", _DAG, _CYC, "cz AS (SELECT * FROM cy WHERE source<>target)", _CLOSE.format("cz")))(
@@ -270,19 +271,12 @@ query("G16_induced_subgraph", K.sql(
     lambda s, sf: lg.induced_subgraph(dag_nodes(s, sf).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)}), dag_edges(s, sf), ids(s, sf, "p_size < 30"))[1].drop("ord"))
 
 # ---- C: components and selection -----------------------------------------------------------
-_RUN = ("rr AS (SELECT image_id, frame, y, onn AS \"on\", min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, frame, y, onn ORDER BY x) AS g "
-        "FROM (SELECT *, {cond} AS onn FROM {src})) GROUP BY image_id, frame, y, onn, g)")
+_RUN = ("rr AS (SELECT image_id, frame, y, onn AS \"on\", min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, frame, y, onn ORDER BY x) AS gg "
+        "FROM (SELECT *, {cond} AS onn FROM {src})) GROUP BY image_id, frame, y, onn, gg)")
 query("C1_runs", K.sql("SELECT image_id, frame, y, x0, x1, \"on\" FROM rr", K.MASK, _RUN.format(cond=f"{K.lum()} >= 128", src="mk")))(
     lambda s, sf: comp.runs(fx.mask_part(s, sf).withColumn("on", C.luminance() >= 128)).select("image_id", "frame", "y", "x0", "x1", "on"))
 
 
-def cc_sql(src: str, dst: str, same: str = "q.onn = p.onn") -> str:
-    """CTE dst: per pixel the smallest row-major position of its component (label spreading by key)."""
-    return (f"{dst}l(image_id, frame, x, y, onn, lb) USING KEY (image_id, frame, x, y) AS (SELECT image_id, frame, x, y, onn, y*4096+x FROM {src} UNION "
-            f"SELECT p.image_id, p.frame, p.x, p.y, p.onn, min(q.lb) FROM recurring.{dst}l p JOIN {dst}l q ON q.image_id=p.image_id AND q.frame=p.frame AND {same} AND "
-            f"abs(p.x-q.x)+abs(p.y-q.y)=1 AND q.lb < p.lb GROUP BY p.image_id, p.frame, p.x, p.y, p.onn)")
-
-
 def cc_join_sql(src: str, dst: str) -> str:
     nb = " UNION ALL ".join(f"SELECT image_id, frame, x+({dx}) AS x, y+({dy}) AS y, onn, lb FROM {dst}l" for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))
     return (f"{dst}l(image_id, frame, x, y, onn, lb) USING KEY (image_id, frame, x, y) AS (SELECT image_id, frame, x, y, onn, y*4096+x FROM {src} UNION "
