@@ -54,6 +54,67 @@ def _node(y: Column, x: Column) -> Column:
     return y.cast("long") * F.lit(1 << 31).cast("long") + x.cast("long")
 
 
+BAND = 256  # rows whose links are resolved inside one task
+LINKS_PER_TASK = 200_000
+
+
+def _roots_in_band(keys: list[str]):
+    """Label the linked runs of some bands at once: vectorised minimum spreading with pointer jumping."""
+    import numpy as np
+    import pandas as pd
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        band = pdf.groupby([*keys, "_band"], sort=False).ngroup().to_numpy()
+        ids, node = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+        code = np.concatenate([band, band]) * len(ids) + node
+        uniq, first, inv = np.unique(code, return_index=True, return_inverse=True)
+        a, b = inv[: len(pdf)], inv[len(pdf):]
+        root = np.arange(len(uniq))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        # codes of one band are ordered like its node ids, so the smallest code is the first pixel
+        out = {k: pdf[k].to_numpy()[first % len(pdf)] for k in keys}
+        return pd.DataFrame({**out, "id": ids[uniq % len(ids)], "root": ids[uniq[root] % len(ids)]})
+
+    return label
+
+
+def label_links(links: DataFrame, keys: list[str], band_of) -> DataFrame:
+    """links(keys…, a, b) between runs -> (keys…, id, label).
+
+    Links inside a band of rows are settled where they are: bands are packed into bounded tasks and
+    labelled there in one pass.  Only links across band borders, already reduced to one per pair of
+    band components, take the distributed rounds; a corpus of small images has none of those.
+    """
+    links = cut(links.withColumns({"_band": band_of(F.col("a")), "_other": band_of(F.col("b"))}))
+    inner, cross = links.filter("_band = _other").drop("_other"), links.filter("_band <> _other")
+    tasks = max(1, -(-links.count() // LINKS_PER_TASK))  # footers only
+    tasks = max(tasks, min(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // 2000)))
+    bucket = F.pmod(F.xxhash64(*keys, "_band"), F.lit(int(tasks)))
+    types = dict(inner.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "id bigint", "root bigint"])
+    local = inner.withColumn("_task", bucket).groupBy("_task").applyInPandas(
+        _roots_in_band(keys), schema)
+    if cross.isEmpty():
+        return local.withColumnRenamed("root", "label")
+    local = cut(local)
+    root_of = lambda c: local.select(*keys, F.col("id").alias(c), F.col("root").alias(f"_r{c}"))
+    t = cross.join(root_of("a"), [*keys, "a"], "left").join(root_of("b"), [*keys, "b"], "left")
+    t = t.select(*keys, F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")).distinct()
+    top = cut(connected_components(t, keys))
+    t = local.join(top.withColumnsRenamed({"id": "root", "label": "_top"}), [*keys, "root"], "left")
+    t = t.select(*keys, "id", F.coalesce("_top", "root").alias("label"))
+    # a run without links inside its band still belongs to what it touches across the border
+    return t.union(top.join(local.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, "id", "label"))
+
+
 def label_runs(r: DataFrame, value: str = "on", keys: list[str] = IMG) -> DataFrame:
     """Runs plus ``label_x, label_y``, the first pixel (row-major) of the run's 4-connected component.
 
@@ -69,7 +130,7 @@ def label_runs(r: DataFrame, value: str = "on", keys: list[str] = IMG) -> DataFr
     ev = up.union(down).withColumns({"_a": active(0), "_b": active(1)})
     touch = ev.filter("_a is not null and _b is not null and _a.x1 >= _b.x0 and _b.x1 >= _a.x0")
     links = touch.select(*keys, _node(F.col("y"), F.col("_a.x0")).alias("a"), _node(F.col("y") + 1, F.col("_b.x0")).alias("b"))
-    labels = connected_components(links.distinct(), keys).withColumnRenamed("id", "_id")
+    labels = label_links(links, keys, lambda n: F.floor(F.shiftright(n, 31) / BAND).cast("int")).withColumnRenamed("id", "_id")
     t = r.withColumn("_id", _node(F.col("y"), F.col("x0"))).join(labels, [*keys, "_id"], "left")
     label = F.coalesce("label", "_id")
     side = F.lit(1 << 31).cast("long")
@@ -91,7 +152,7 @@ def components(p: DataFrame, cut_level: float = 128, white_only: bool = True) ->
 
 def _flip_small(r: DataFrame, value: bool, min_size: int, enclosed_only: bool) -> DataFrame:
     """Runs with components of ``value`` smaller than ``min_size`` flipped."""
-    lab = label_runs(r.filter(F.col("on") == value))
+    lab = cut(label_runs(r.filter(F.col("on") == value)))
     edge = (F.col("y") == 0) | (F.col("y") == F.col("h") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("w") - 1)
     key = [*IMG, "label_x", "label_y"]
     size = lab.groupBy(*key).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"), F.max(edge).alias("_edge"))
