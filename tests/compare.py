@@ -32,16 +32,20 @@ def rows_of(cols, rows):
     return sorted(cols), sorted("|".join(_norm(r[i]) for i in order) for r in rows)
 
 
+SPARK_S = 0.0
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
          "float": "FLOAT", "array<string>": "VARCHAR[]", "array<int>": "INTEGER[]"}
 
 
 def compare(spark, con, name, fn, sql, sf):
     """None when equal, else a description of the first difference."""
+    t0 = time.time()
     df = fn(spark, sf)
     pdf = df.toArrow()
     s_cols, s_rows = rows_of(df.columns, list(zip(*[c.to_pylist() for c in pdf.columns])) if pdf.num_rows else [])
     n = len(s_rows)
+    global SPARK_S
+    SPARK_S = time.time() - t0
     if sql is None:
         return n, None if n else "no rows"
     rel = con.execute(sql)
@@ -84,7 +88,7 @@ def main(argv):
         except Exception as e:  # report and go on
             n, why = 0, f"{type(e).__name__}: {str(e)[:700]}"
         bad += why is not None
-        print(f"{'FAIL' if why else 'ok  '} {name:32s} {n:8d} rows {time.time() - t0:6.2f}s "
+        print(f"{'FAIL' if why else 'ok  '} {name:32s} {n:8d} rows {time.time() - t0:6.2f}s (spark {SPARK_S:5.1f}s) "
               f"{'' if name in orc else '(rows only)'} {why or ''}", flush=True)
     print("failures:", bad)
 
