@@ -77,24 +77,25 @@ def lens_geometry(settings: DataFrame) -> DataFrame:
     return s.withColumns({"focus_mm": n * F.col("radius_mm") / (n - 1), "total_mm": F.col("base_mm") + F.col("sag_mm")})
 
 
-def landing(off: Column, theta: Column, radius: Column) -> Column:
-    """Where one refracted ray lands under the lens; null when it does not reach the back."""
-    n, h = _index(), _height()
-    k = F.col("conic_k")
-    dx, dy = -F.sin(theta), -F.cos(theta)
-    y = h - conic_sag(F.abs(off), radius, k)
-    slope = conic_slope(F.abs(off), radius, k) * F.signum(off)
-    norm = F.sqrt(slope * slope + 1.0)
-    nx, ny, eta = slope / norm, d(1) / norm, d(1) / n
-    cos_i = -(dx * nx + dy * ny)
-    disc = d(1) - eta * eta * (d(1) - cos_i * cos_i)
-    f = eta * cos_i - F.sqrt(F.greatest(d(0), disc))
-    ix, iy = eta * dx + f * nx, eta * dy + f * ny
-    return F.when((disc >= 0) & (iy < 0), off + y / -F.when(iy < 0, iy).otherwise(d(-1)) * ix)
-
+def with_landing(t: DataFrame, rays: int, radius: str) -> DataFrame:
+    """Adds ``_x``: where ray ``_i`` of ``rays`` at cone fraction ``_f`` lands under the lens; null when it does not.
 
-def ray_offset(i: Column, rays: int) -> Column:
-    return F.col("pitch_mm") / 2 * 0.99 * (d(i) * 2.0 / float(max(1, rays - 1)) - (1.0 if rays > 1 else 0.0))
+    Written in steps so that generated code computes every intermediate once.
+    """
+    n, h, k, big = _index(), _height(), F.col("conic_k"), F.col(radius)
+    scale = 0.99 * (1.0 if rays > 1 else 0.0)
+    t = t.withColumns({"_o": F.col("pitch_mm") / 2 * scale * (d("_i") * 2.0 / float(max(1, rays - 1)) - 1.0),
+                       "_th": F.col("_f") * (F.col("view_angle_deg") / 2) * (math.pi / 180)})
+    t = t.withColumns({"_dx": -F.sin("_th"), "_dy": -F.cos("_th"), "_ao": F.abs("_o")})
+    t = t.withColumns({"_y": h - conic_sag(F.col("_ao"), big, k), "_sl": conic_slope(F.col("_ao"), big, k) * F.signum("_o")})
+    t = t.withColumns({"_ny": d(1) / F.sqrt(F.col("_sl") * F.col("_sl") + 1.0), "_eta": d(1) / n})
+    t = t.withColumn("_nx", F.col("_sl") * F.col("_ny"))
+    t = t.withColumn("_ci", -(F.col("_dx") * F.col("_nx") + F.col("_dy") * F.col("_ny")))
+    t = t.withColumn("_q", d(1) - F.col("_eta") * F.col("_eta") * (d(1) - F.col("_ci") * F.col("_ci")))
+    t = t.withColumn("_ff", F.col("_eta") * F.col("_ci") - F.sqrt(F.greatest(d(0), F.col("_q"))))
+    t = t.withColumns({"_ix": F.col("_eta") * F.col("_dx") + F.col("_ff") * F.col("_nx"), "_iy": F.col("_eta") * F.col("_dy") + F.col("_ff") * F.col("_ny")})
+    fall = F.when(F.col("_iy") < 0, F.col("_iy")).otherwise(d(-1))
+    return t.withColumn("_x", F.when((F.col("_q") >= 0) & (F.col("_iy") < 0), F.col("_o") + F.col("_y") / -fall * F.col("_ix")))
 
 
 def spot_size_sweep(settings: DataFrame, keys: list[str], rays: int = 41) -> DataFrame:
@@ -106,8 +107,7 @@ def spot_size_sweep(settings: DataFrame, keys: list[str], rays: int = 41) -> Dat
     g = lens_geometry(settings)
     t = g.withColumn("_f", F.explode(F.array(*[d(v) for v in CONE_FRACTIONS])))
     t = t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
-    theta = F.col("_f") * (F.col("view_angle_deg") / 2) * (math.pi / 180)
-    t = t.withColumn("_x", landing(ray_offset(F.col("_i"), rays), theta, F.col("radius_mm")))
+    t = with_landing(t, rays, "radius_mm")
     spot = t.groupBy(*keys, "_f").agg(F.coalesce(F.max("_x") - F.min("_x"), d(0)).alias("spot"))
     return spot.groupBy(*keys).agg(F.max("spot").alias("worst_spot_mm"))
 
@@ -129,8 +129,7 @@ def best_radius(settings: DataFrame, rays: int = 25, grid: int = 32, rounds: int
         r = r.withColumn("_r", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_k") / float(grid))
         r = r.withColumn("_f", F.explode(F.array(*[d(v) for v in CONE_FRACTIONS])))
         r = r.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
-        theta = F.col("_f") * (F.col("view_angle_deg") / 2) * (math.pi / 180)
-        r = r.withColumn("_x", landing(ray_offset(F.col("_i"), rays), theta, F.col("_r")))
+        r = with_landing(r, rays, "_r")
         r = r.groupBy(*inside, "_k", "_f").agg(F.coalesce(F.max("_x") - F.min("_x"), d(0)).alias("_s"))
         r = r.groupBy(*inside, "_k").agg(F.max("_s").alias("_s"))
         r = r.groupBy(*inside).agg(F.min(F.struct("_s", "_k"))["_k"].alias("_k"))
