@@ -210,8 +210,11 @@ def composite_splats(foot: DataFrame) -> DataFrame:
 
     What a splat adds is its opacity times the transmittance of everything nearer, a running sum of
     logarithms over the pixel's splats from the nearest: a spillable window, not a collected list.
+    Footprints (one row per splat and eye) are written once: they are read for the depth range and
+    again for the far larger expansion into pixels.
     """
     key = ["cloud_id", "view"]
+    foot = cut(foot)
     rng = foot.groupBy(*key).agg(F.min("cz").alias("_lo"), F.max("cz").alias("_hi"))
     t = foot.filter("x0 <= x1 and y0 <= y1").join(rng, key)
     span = F.greatest(d(1e-6), F.col("_hi") - F.col("_lo"))

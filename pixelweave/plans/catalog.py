@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     catalog_flow,
     catalog_graph,
     catalog_raster,
+    catalog_recipes,
     catalog_shapes,
     catalog_views,
 )
