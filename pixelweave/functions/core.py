@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,30 +75,41 @@ def rgb_to_hsv(r="r", g="g", b="b") -> tuple[Column, Column, Column]:
     return rgb_hue(r, g, b, mx, mx - mn), sat, mx
 
 
-def rgb_to_hsl(r="r", g="g", b="b") -> tuple[Column, Column, Column]:
-    r, g, b = (d(c(v)) / 255.0 for v in (r, g, b))
-    mx, mn = F.greatest(r, g, b), F.least(r, g, b)
-    light = (mx + mn) / 2.0
-    delta = mx - mn
-    sat = F.when(mx != mn, F.when(light > 0.5, delta / (d(2) - mx - mn)).otherwise(delta / (mx + mn))).otherwise(d(0))
-    return rgb_hue(r, g, b, mx, delta), sat, light
-
-
-def hsl_to_rgb(h: Column, s: Column, light: Column) -> tuple[Column, Column, Column]:
-    q = F.when(light < 0.5, light * (s + 1.0)).otherwise(light + s - light * s)
-    p = light * 2.0 - q
-
-    def channel(t: Column) -> Column:
-        t = F.when(t < 0, t + 1.0).when(t > 1, t - 1.0).otherwise(t)
+def with_hsl(p: DataFrame) -> DataFrame:
+    """Adds ``_h``, ``_s``, ``_l``.
+
+    Written in steps: Catalyst keeps a step whose result is used many times as its own projection, so
+    generated code computes it once and stays small enough to be compiled well.
+    """
+    t = p.withColumns({f"_{ch}": d(ch) / 255.0 for ch in "rgb"})
+    t = t.withColumns({"_mx": F.greatest("_r", "_g", "_b"), "_mn": F.least("_r", "_g", "_b")})
+    t = t.withColumns({"_l": (F.col("_mx") + F.col("_mn")) / 2.0, "_dl": F.col("_mx") - F.col("_mn")})
+    flat = F.col("_dl") == 0
+    room = F.when(F.col("_l") > 0.5, d(2) - F.col("_mx") - F.col("_mn")).otherwise(F.col("_mx") + F.col("_mn"))
+    hue = rgb_hue(F.col("_r"), F.col("_g"), F.col("_b"), F.col("_mx"), F.col("_dl"))
+    t = t.withColumns({"_h": hue, "_s": F.when(flat, d(0)).otherwise(F.col("_dl") / F.when(flat, d(1)).otherwise(room))})
+    return t.drop("_r", "_g", "_b", "_mx", "_mn", "_dl")
+
+
+def with_rgb_of_hsl(p: DataFrame) -> DataFrame:
+    """Replaces r, g, b by the colour of ``_h``, ``_s``, ``_l`` (dropped), in steps like ``with_hsl``."""
+    q = F.when(F.col("_l") < 0.5, F.col("_l") * (F.col("_s") + 1.0)).otherwise(F.col("_l") + F.col("_s") - F.col("_l") * F.col("_s"))
+    t = p.withColumn("_q", q).withColumn("_p", F.col("_l") * 2.0 - F.col("_q"))
+    shift = {"r": F.col("_h") + 1 / 3, "g": F.col("_h") + 0.0, "b": F.col("_h") - 1 / 3}
+    t = t.withColumns({f"_t{ch}": e for ch, e in shift.items()})
+    t = t.withColumns({f"_t{ch}": F.when(F.col(f"_t{ch}") < 0, F.col(f"_t{ch}") + 1.0).when(F.col(f"_t{ch}") > 1, F.col(f"_t{ch}") - 1.0).otherwise(F.col(f"_t{ch}")) for ch in "rgb"})
+    lo, hi = F.col("_p"), F.col("_q")
+
+    def value(ch: str) -> Column:
+        w = F.col(f"_t{ch}")
         v = (
-            F.when(t < 1 / 6, p + (q - p) * 6.0 * t)
-            .when(t < 1 / 2, q)
-            .when(t < 2 / 3, p + (q - p) * (d(2 / 3) - t) * 6.0)
-            .otherwise(p)
+            F.when(w < 1 / 6, lo + (hi - lo) * 6.0 * w).when(w < 1 / 2, hi)
+            .when(w < 2 / 3, lo + (hi - lo) * (d(2 / 3) - w) * 6.0).otherwise(lo)
         )
-        return F.when(s == 0, jsround(light * 255.0)).otherwise(jsround(v * 255.0))
+        return jsround(F.when(F.col("_s") == 0, F.col("_l")).otherwise(v) * 255.0)
 
-    return channel(h + 1 / 3), channel(h), channel(h - 1 / 3)
+    t = t.withColumns({ch: value(ch) for ch in "rgb"})
+    return t.drop("_h", "_s", "_l", "_q", "_p", "_tr", "_tg", "_tb")
 
 
 def hex_to_rgba(text, alpha: int = 255) -> Column:

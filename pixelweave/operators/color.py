@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import (
-    c, clamp01, d, hsl_to_rgb, js_round_py, jsround, luminance, rgb_to_hsl, rgb_to_hsv, u8,
+    c, clamp01, d, js_round_py, jsround, luminance, rgb_to_hsv, u8, with_hsl, with_rgb_of_hsl,
 )
 from ..schema import RGB, RGBA
 
@@ -129,12 +129,9 @@ def gradient_map(p: DataFrame, low, high) -> DataFrame:
 
 
 def hue_saturation(p: DataFrame, hue_degrees: float, saturation: float) -> DataFrame:
-    h, s, light = rgb_to_hsl()
-    t = p.withColumns({"_h": h, "_s": s, "_l": light})
-    nh = (F.col("_h") + hue_degrees / 360) % d(1.0)
-    t = t.withColumns({"_h": F.when(nh < 0, nh + 1.0).otherwise(nh), "_s": clamp01(F.col("_s") * saturation)})
-    r, g, b = hsl_to_rgb(F.col("_h"), F.col("_s"), F.col("_l"))
-    return t.withColumns({"r": r, "g": g, "b": b}).drop("_h", "_s", "_l")
+    t = with_hsl(p).withColumn("_h", (F.col("_h") + hue_degrees / 360) % d(1.0))
+    t = t.withColumns({"_h": F.when(F.col("_h") < 0, F.col("_h") + 1.0).otherwise(F.col("_h")), "_s": clamp01(F.col("_s") * saturation)})
+    return with_rgb_of_hsl(t)
 
 
 def white_balance(p: DataFrame, temperature: float, green: float) -> DataFrame:

@@ -71,40 +71,38 @@ def transform(p: DataFrame, op: str) -> DataFrame:
     return p.select(*IMG, nw.alias("w"), nh.alias("h"), nx.alias("x"), ny.alias("y"), *RGBA)
 
 
-def _first_at(index, guess: Column, s: Column, n_src: Column, n_out: Column) -> Column:
-    """Smallest output position whose source index reaches s; the float guess is put right by one."""
-    g = F.ceil(guess).cast("int")
-    exact = F.when((g > 0) & (index(g - 1) >= s), g - 1).when(index(g) >= s, g).otherwise(g + 1)
-    return F.when(s <= 0, F.lit(0)).when(s >= n_src, n_out).otherwise(F.least(exact, n_out))
+def scatter(p: DataFrame, tw: Column, th: Column, kind: str) -> DataFrame:
+    """Explode each source pixel to the output positions (_ox, _oy) whose top-left source it is.
 
-
-def scatter(p: DataFrame, tw: Column, th: Column, kind: str, keep: list[str]) -> DataFrame:
-    """Explode each source pixel to the output positions (_ox, _oy) whose top-left source it is."""
+    Along an axis those positions are a range.  Its ends are guessed by division and put right by
+    one step with the exact index formula, so floating-point borders cannot lose or repeat a pixel.
+    """
     p = p.withColumns({"_tw": tw.cast("int"), "_th": th.cast("int")})
 
     def span(df: DataFrame, pos: str, n: str, out: str, name: str) -> DataFrame:
-        s, n_src, n_out = F.col(pos), F.col(n), F.col(out)
+        n_src, n_out = F.col(n), F.col(out)
         if kind == "nearest":
-            def index(i):
-                return F.least(n_src - 1, F.floor(d(i) / d(n_out) * d(n_src)).cast("int"))
-
-            def guess(v):
-                return d(v) * d(n_out) / d(n_src)
+            index = lambda i: F.least(n_src - 1, F.floor(d(i) / d(n_out) * d(n_src)).cast("int"))
+            per = d(n_out) / d(n_src)
         else:
             steps = F.greatest(n_out - 1, F.lit(1))
-
-            def index(i):
-                return F.floor(d(i) * d(n_src - 1) / d(steps)).cast("int")
-
-            def guess(v):
-                return d(v) * d(steps) / F.greatest(d(n_src) - 1, d(1))
-        lo = _first_at(index, guess(s), s, n_src, n_out)
-        hi = _first_at(index, guess(s + 1), s + 1, n_src, n_out)
-        if kind != "nearest":
-            hi = F.when(n_out == 1, F.lit(1)).otherwise(hi)
-            lo = F.when((n_out == 1) & (s > 0), F.lit(1)).otherwise(lo)
-        t = df.withColumns({"_lo": lo, "_hi": hi}).filter("_lo < _hi")
-        return t.withColumn(name, F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1))).drop("_lo", "_hi")
+            index = lambda i: F.floor(d(i) * d(n_src - 1) / d(steps)).cast("int")
+            per = d(steps) / F.greatest(d(n_src) - 1, d(1))
+        t = df.withColumn("_per", per)
+        t = t.withColumns({"_lo": F.ceil(F.col(pos) * F.col("_per")).cast("int"), "_hi": F.ceil((F.col(pos) + 1) * F.col("_per")).cast("int")})
+
+        def first(g: str, s: Column) -> Column:
+            g = F.col(g)
+            exact = F.when((g > 0) & (index(g - 1) >= s), g - 1).when(index(g) >= s, g).otherwise(g + 1)
+            return F.when(s <= 0, F.lit(0)).when(s >= n_src, n_out).otherwise(F.least(exact, n_out))
+
+        t = t.withColumns({"_lo": first("_lo", F.col(pos)), "_hi": first("_hi", F.col(pos) + 1)})
+        if kind != "nearest":  # a single output column reads the first source column only
+            one = n_out == 1
+            t = t.withColumns({"_lo": F.when(one & (F.col(pos) > 0), F.lit(1)).otherwise(F.col("_lo")), "_hi": F.when(one, F.lit(1)).otherwise(F.col("_hi"))})
+        # an empty range turns into a null array, which explodes to nothing
+        cells = F.when(F.col("_lo") < F.col("_hi"), F.sequence(F.col("_lo"), F.col("_hi") - 1))
+        return t.withColumn(name, F.explode(cells)).drop("_lo", "_hi", "_per")
 
     t = span(p, "x", "w", "_tw", "_ox")
     return span(t, "y", "h", "_th", "_oy")
@@ -112,7 +110,7 @@ def scatter(p: DataFrame, tw: Column, th: Column, kind: str, keep: list[str]) ->
 
 def resize_nearest(p: DataFrame, w, h, keys: list[str] = IMG) -> DataFrame:
     """Nearest-neighbour resize to numbers or per-image columns. Narrow: no shuffle."""
-    t = scatter(p, c(w), c(h), "nearest", [])
+    t = scatter(p, c(w), c(h), "nearest")
     return t.select(*keys, F.col("_tw").alias("w"), F.col("_th").alias("h"), F.col("_ox").alias("x"),
                     F.col("_oy").alias("y"), *RGBA)
 
@@ -140,7 +138,7 @@ def resize_bilinear(p: DataFrame, w, h, keep: list[str] | None = None) -> DataFr
     keep = keep or []
     q = with_quad(p.withColumns({"_rw": F.greatest(F.lit(1), F.floor(c(w)).cast("int")),
                                  "_rh": F.greatest(F.lit(1), F.floor(c(h)).cast("int"))}))
-    t = scatter(q, F.col("_rw"), F.col("_rh"), "bilinear", keep)
+    t = scatter(q, F.col("_rw"), F.col("_rh"), "bilinear")
 
     def weight(o: str, n_src: str, n_out: str, s: str) -> Column:
         pos = F.when(F.col(n_out) > 1, d(o) * (d(n_src) - 1) / F.greatest(d(n_out) - 1, d(1))).otherwise(d(0))

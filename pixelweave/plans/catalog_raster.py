@@ -144,8 +144,7 @@ _SATV = "CASE WHEN mx=0 THEN 0e0 ELSE (mx-mn)/mx END"
 @query("P13_rgb_to_hsl", K.sql(f"SELECT image_id, frame, x, y, {srnd(_HUE)} AS hue, {srnd(_SATL)} AS sat, "
                                f"{srnd('(mx+mn)/2e0')} AS light FROM n1", PX, _MXMN))
 def _hsl(s, sf):
-    h, sat, light = C.rgb_to_hsl()
-    return fx.px_embed(s, sf).select(*OUT[:4], rnd(h).alias("hue"), rnd(sat).alias("sat"), rnd(light).alias("light"))
+    return C.with_hsl(fx.px_embed(s, sf)).select(*OUT[:4], rnd("_h").alias("hue"), rnd("_s").alias("sat"), rnd("_l").alias("light"))
 
 
 @query("P14_rgb_to_hsv", K.sql(f"SELECT image_id, frame, x, y, {srnd(_HUE)} AS hue, {srnd(_SATV)} AS sat, "
@@ -173,14 +172,7 @@ def _hsl_to_rgb_sql(src: str) -> str:
     )
 
 
-def _hsl_round(p: DataFrame) -> DataFrame:
-    h, sat, light = C.rgb_to_hsl()
-    t = p.withColumns({"hh": h, "ss": sat, "ll": light})
-    r, g, b = C.hsl_to_rgb(F.col("hh"), F.col("ss"), F.col("ll"))
-    return t.withColumns({"r": r, "g": g, "b": b})
-
-
-on_px("P13_hsl_to_rgb", _hsl_round, K.sql(
+on_px("P13_hsl_to_rgb", lambda p: C.with_rgb_of_hsl(C.with_hsl(p)), K.sql(
     f"SELECT {K.OUT} FROM h3", PX, _MXMN, f"n2 AS (SELECT * , {_HUE} AS hh, {_SATL} AS ss, (mx+mn)/2e0 AS ll FROM n1)",
     _hsl_to_rgb_sql("n2")))
 on_px("P15_hue_saturation", lambda p: color.hue_saturation(p, -75, 1.4), K.sql(
