@@ -1,0 +1,173 @@
+"""View synthesis, lens sweeps, meshes and clouds against sequential brute force."""
+
+import math
+
+import numpy as np
+import pytest
+from helpers import noise, pixels, raster
+
+from pixelweave.operators import cloud as cl
+from pixelweave.operators import mesh as ms
+from pixelweave.operators import sweep as sw
+from pixelweave.operators import viewsynth as vs
+
+
+def warp_line(src, key, shift, jump, win):
+    """One scanline, step by step."""
+    w = len(key)
+    xs = np.array([np.float32(x + float(np.float32(shift[key[x]]))) for x in range(w)], dtype="f4").astype(float)
+    z, s, drawn = [-1] * w, [-1] * w, [False] * w
+    for x in range(w):
+        p = math.floor(xs[x] + 0.5)
+        if 0 <= p < w and key[x] > z[p]:
+            z[p], s[p], drawn[p] = key[x], x, True
+    for x in range(w - 1):
+        if xs[x + 1] - xs[x] > 1:
+            f = x if key[x] <= key[x + 1] else x + 1
+            for p in range(max(0, math.ceil(xs[x])), min(w - 1, math.floor(xs[x + 1])) + 1):
+                if key[f] > z[p]:
+                    z[p], s[p], drawn[p] = key[f], f, False
+    steep = [xs[min(w - 1, x + win)] - xs[max(0, x - win)] - (min(w - 1, x + win) - max(0, x - win)) > jump for x in range(w)]
+    x = 0
+    while x < w:
+        if steep[x]:
+            e = x
+            while e + 1 < w and steep[e + 1]:
+                e += 1
+            f = x if key[x] <= key[e] else e
+            for p in range(max(0, math.ceil(xs[x])), min(w - 1, math.floor(xs[e])) + 1):
+                if s[p] == -1 or x < s[p] < e:
+                    z[p], s[p], drawn[p] = key[f], f, False
+            x = e
+        x += 1
+    hit = [p for p in range(w) if z[p] >= 0]
+    out = []
+    for p in range(w):
+        q = s[p]
+        if hit and p < hit[0]:
+            q = s[hit[0]]
+        elif hit and p > hit[-1]:
+            q = s[hit[-1]]
+        out.append(tuple(src[q]) if q >= 0 else (0, 0, 0, 0))
+    return out, [not d for d in drawn] if hit else [False] * w
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_warp_equals_the_sequential_pass(spark, seed):
+    rng = np.random.default_rng(seed)
+    h, w = 12, 24
+    a = noise(h, w, seed)
+    key = np.repeat(np.sort(rng.integers(0, 256, (h, 6)), axis=1)[:, rng.permutation(6)], 4, axis=1)
+    depth = np.stack([key] * 3 + [np.full_like(key, 255)], axis=2)
+    opt = dict(width_mm=20.0, distance=400.0, depth_mm=30.0, setback=0.0)
+    got = vs.depth_views(pixels(spark, a), pixels(spark, depth), views=3, cone_deg=14.0, blur_px=0, edge_jump=1.0, prepared=True, **opt).cache()
+    views = raster(got)
+    filled = {(r.frame, r.y, r.x): r.filled for r in got.collect()}
+    half = 14.0 * math.pi / 360
+    for i in range(3):
+        eye = math.tan((i / 2 * 2 - 1) * half) * 400.0
+        z = [-((1 - v / 255.0) * 30.0) for v in range(256)]
+        shift = [np.float32(-eye * q / (400.0 - q) * (w / 20.0)) for q in z]
+        for y in range(h):
+            line, invented = warp_line(a[y], key[y], shift, 1.0, 2)
+            assert [tuple(v) for v in views[(1, i)][y]] == line
+            assert [filled[(i, y, x)] for x in range(w)] == invented
+
+
+def landings(h, n, pitch, radius, k, theta, rays):
+    out = []
+    for i in range(rays):
+        o = pitch / 2 * 0.99 * (2 * i / (rays - 1) - 1)
+        disc = 1 - (1 + k) * o * o / radius**2
+        sag = o * o / (radius * (1 + math.sqrt(max(0, disc))))
+        sl = abs(o) / (radius * math.sqrt(max(1e-12, disc))) * ((o > 0) - (o < 0))
+        nl = math.hypot(sl, 1)
+        nx, ny, dx, dy = sl / nl, 1 / nl, -math.sin(theta), -math.cos(theta)
+        ci = -(dx * nx + dy * ny)
+        q = 1 - (1 - ci * ci) / n**2
+        if q < 0:
+            continue
+        f = ci / n - math.sqrt(q)
+        ix, iy = dx / n + f * nx, dy / n + f * ny
+        if iy < 0:
+            out.append(o + (h - sag) / -iy * ix)
+    return max(out) - min(out)
+
+
+def test_best_radius_beats_its_neighbourhood(spark):
+    s = spark.createDataFrame([(100.0, 1440.0, 45.0, 0.9, 1.56), (100.0, 1440.0, 60.0, 1.2, 1.5)], "width_mm double, ppi double, lpi double, height_mm double, ri double")
+    for r in sw.best_radius(s).collect():
+        worst = lambda R: max(landings(r.height_mm, r.ri, r.pitch_mm, R, 0.0, f * r.view_angle_deg / 2 * math.pi / 180, 25) for f in sw.CONE_FRACTIONS)
+        grid = np.linspace(r.axial_radius_mm, 1.6 * r.axial_radius_mm, 400)
+        assert worst(r.best_radius_mm) <= min(map(worst, grid)) * 1.002
+
+
+def test_focus_setting_uses_the_tuned_radius(spark):
+    s = spark.createDataFrame([(100.0, 1440.0, 45.0, 0.9, 1.56, "cone"), (100.0, 1440.0, 45.0, 0.9, 1.56, "axis")],
+                              "width_mm double, ppi double, lpi double, height_mm double, ri double, focus string")
+    r = {x.focus: x for x in sw.lens_geometry(s).collect()}
+    assert math.isclose(r["axis"].focus_mm, 0.9) and r["cone"].radius_mm > r["axis"].radius_mm
+    assert math.isclose(r["axis"].pitch_mm, 25.4 / 45) and math.isclose(r["axis"].pitch_px, 32)
+
+
+def test_relief_mesh_is_closed(spark):
+    a = noise(5, 6, 7, opaque=True)
+    t = ms.heightmap_to_mesh(pixels(spark, a), 90, 1.0, 5.0, 12.0).collect()
+    count = {}
+    for r in t:
+        p = [tuple(round(getattr(r, f"{v}{k}"), 9) for k in "xyz") for v in "abc"]
+        for u, v in ((p[0], p[1]), (p[1], p[2]), (p[2], p[0])):
+            count[(u, v)] = count.get((u, v), 0) + 1
+    assert all(n == count.get((v, u), 0) for (u, v), n in count.items())
+
+
+def test_uniform_block_merges_to_twelve_triangles(spark):
+    a = np.full((8, 8, 4), 255)
+    assert ms.plateau_mesh(pixels(spark, a)).count() == 12
+
+
+def tri_table(spark, tris, extra=None):
+    cols = "mesh_id long, tri_id long, " + ", ".join(f"{n} double" for n in ms.TRI) + (", " + extra[0] if extra else "")
+    return spark.createDataFrame([(1, i, *map(float, t), *(extra[1][i:i + 1] if extra else ())) for i, t in enumerate(tris)], cols)
+
+
+def test_large_triangle_is_tiled_without_gaps(spark):
+    quad = [(-50, -50, 0, 50, -50, 0, 50, 50, 0), (-50, -50, 0, 50, 50, 0, -50, 50, 0)]
+    m = tri_table(spark, quad).withColumn("zscale", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1.0))
+    z = ms.rasterize(m, [(0.0, 0.0)], 150, 100.0, 100.0)
+    assert z.filter("t > 0").count() == 150 * 150 and z.count() == 150 * 150
+
+
+def test_texture_and_vertex_colours(spark):
+    from pyspark.sql import functions as F
+
+    quad = [(-50, -50, 0, 50, -50, 0, 50, 50, 0), (-50, -50, 0, 50, 50, 0, -50, 50, 0)]
+    uv = [[0.0, 0.0, 1.0, 0.0, 1.0, 1.0], [0.0, 0.0, 1.0, 1.0, 0.0, 1.0]]
+    tex = np.full((4, 4, 4), 255)
+    tex[..., :3] = (10, 200, 60)
+    flat = ms.Shading(ambient=1.0)
+    m = tri_table(spark, quad, ("uv array<double>", uv)).withColumn("zscale", F.lit(1.0))
+    got = {(r.r, r.g, r.b) for r in ms.rasterize(m, [(0.0, 0.0)], 16, 100.0, 100.0, shading=flat, texture=pixels(spark, tex)).collect()}
+    assert got == {(10, 200, 60)}
+    m = tri_table(spark, quad, ("rgb array<int>", [[9, 8, 7] * 3] * 2)).withColumn("zscale", F.lit(1.0))
+    assert {(r.r, r.g, r.b) for r in ms.rasterize(m, [(0.0, 0.0)], 16, 100.0, 100.0, shading=flat).collect()} == {(9, 8, 7)}
+
+
+def test_cloud_front_splat_hides_the_back(spark):
+    cols = "cloud_id long, splat_id long, px double, py double, pz double, sx double, sy double, sz double, qx double, qy double, qz double, qw double, r int, g int, b int, a int"
+    rows = [(1, 0, 0.0, 0.0, -50.0, 20.0, 20.0, 20.0, 0.0, 0.0, 0.0, 1.0, 255, 0, 0, 255), (1, 1, 0.0, 0.0, -5.0, 20.0, 20.0, 20.0, 0.0, 0.0, 0.0, 1.0, 0, 255, 0, 255),
+            (1, 2, 0.0, 0.0, 10.0, 20.0, 20.0, 20.0, 0.0, 0.0, 0.0, 1.0, 0, 0, 255, 255)]
+    v = cl.CloudView(cols=1, width_px=32)
+    s = spark.createDataFrame(rows, cols)
+    assert {r.splat_id: r.state for r in cl.cull_cloud(s, v).collect()} == {0: "kept", 1: "kept", 2: "culled"}
+    mid = raster(cl.cloud_views(s, v))[(1, 0)][16, 16]
+    assert mid[1] > 240 and mid[0] < 20
+    acc = cl.composite_splats(cl.splat_footprint(cl.camera_covariance(cl.cull_cloud(s, v).filter("state = 'kept'"), v.camera), v))
+    assert acc.filter("alpha < 0 or alpha > 1 + 1e-9").count() == 0
+
+
+def test_stride_keeps_exactly_the_budget(spark):
+    df = spark.range(1000).selectExpr("0 as g", "id")
+    t = cl.stride_sample(df, "g", "id", 37)
+    assert sorted(r.id for r in t.collect()) == [math.floor(i * (1000 / 37)) for i in range(37)]
+    assert t.first().dropped == 963
