@@ -143,9 +143,8 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     asap = peel(nodes, edges).withColumnRenamed("level", "asap")
     sink = peel(nodes, edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).withColumnRenamed("level", "sink")
     t = nodes.select("id").distinct().join(asap, "id", "left").join(sink, "id", "left")
-    top = asap.agg(F.coalesce(F.max("asap"), F.lit(0)).alias("_top"))
-    t = t.join(F.broadcast(top))  # exactly one row
-    return t.select("id", F.coalesce("asap", F.lit(0)).alias("asap"), (F.col("_top") - F.coalesce("sink", F.lit(0))).alias("alap"))
+    top = asap.agg(F.max("asap")).first()[0] or 0  # one number: the critical-path length
+    return t.select("id", F.coalesce("asap", F.lit(0)).alias("asap"), (F.lit(top) - F.coalesce("sink", F.lit(0))).alias("alap"))
 
 
 def stale_nodes(prev_nodes: DataFrame, prev_edges: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

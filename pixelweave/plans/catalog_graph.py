@@ -113,8 +113,8 @@ def cyclic_edges(s, sf):
     """F7 plus a back edge from k to 6k + 1 for every seventh node."""
     p = fx.table(s, sf, "part").select("p_partkey")
     e = dag_edges(s, sf)
-    n = p.agg(F.max("p_partkey").alias("m"))
-    back = p.join(F.broadcast(n)).filter("p_partkey % 7 = 6 and 6 * p_partkey + 1 <= m").select(  # one-row side
+    top = p.agg(F.max("p_partkey")).first()[0]
+    back = p.filter((F.col("p_partkey") % 7 == 6) & (F.col("p_partkey") * 6 + 1 <= top)).select(
         (F.col("p_partkey") * 10 + 5).alias("ord"), F.concat(F.lit("b"), F.col("p_partkey")).alias("id"), F.col("p_partkey").alias("source"),
         F.lit("out").alias("source_port"), (F.col("p_partkey") * 6 + 1).alias("target"), F.lit("a").alias("target_port"))
     return e.union(back)

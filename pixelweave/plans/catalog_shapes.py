@@ -12,7 +12,7 @@ from ..operators import cloud as cl
 from ..operators import mesh as ms
 from ..operators import stats
 from ..schema import PIXEL, TRI, ensure_checkpoint_dir, spread
-from ..sources import cloudio, graphio, images, meshio
+from ..sources import cloudio, files, graphio, images, meshio
 from . import fixtures as fx
 from . import sqlkit as K
 from .catalog_raster import OUT, OUTS, rnd, srnd
@@ -376,3 +376,60 @@ def _graph(s, sf):
     graphs, nodes, edges = graphio.read_saved_graph(s, path + "/*")
     t = nodes.join(edges.select("file", F.col("source").alias("id"), "target"), ["file", "id"]).join(graphs, "file")
     return t.select("id", "type", "config", "target", "version")
+
+
+# ---- S: binary files, written from the tables and read back --------------------------------
+@query("S1_read_images", K.sql("SELECT image_id, w, h, x, y, r, g, b, 255 AS a FROM px", K.PX))
+def _images(s, sf):
+    """Every embedding image as a 24-bit bitmap (rows from the bottom, channels B, G, R)."""
+    path = scratch(s)
+    px = fx.px_embed(s, sf)
+    dot = F.concat(*[F.lpad(F.hex(ch), 2, "0") for ch in ("b", "g", "r")])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("o"), "x", dot.alias("d")))), lambda v: v["d"]), "")
+    head = "424DF600000000000000360000002800000008000000080000000100180000000000C0000000" + "00" * 16
+    t = px.groupBy("image_id").agg(F.unhex(F.concat(F.lit(head), body)).alias("content"))  # 64 pixels each
+    files.write_files(t.withColumn("name", F.concat(F.lit("img"), "image_id", F.lit(".bmp"))), path)
+    im, p = images.read_images(s, path)
+    name = F.regexp_extract("origin", r"img(\d+)\.bmp", 1).cast("long")
+    return p.drop("frame").join(im.select(F.col("image_id"), name.alias("n")), "image_id").drop("image_id").withColumnRenamed("n", "image_id").select(
+        "image_id", "w", "h", "x", "y", *"rgba")
+
+
+@query("S8_read_splats", "SELECT " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(("px", "py", "pz", "sx", "sy", "sz")))
+       + ", (vec_id%256)::INTEGER AS r, (vec_id%251)::INTEGER AS g, 7 AS b, 255 AS a, 1e0 AS qw FROM embeddings")
+def _splat_files(s, sf):
+    """Records packed a batch at a time, one file per batch."""
+    import numpy as np
+    import pandas as pd
+
+    path = scratch(s)
+
+    def pack(batches):
+        for pdf in batches:
+            e, k = np.stack(pdf["embedding"].to_numpy()), pdf["vec_id"].to_numpy()
+            a = np.zeros(len(pdf), [("p", "<f4", 6), ("c", "u1", 4), ("q", "u1", 4)])
+            a["p"], a["q"] = e[:, :6], (255, 128, 128, 128)
+            a["c"] = np.stack([k % 256, k % 251, np.full(len(k), 7), np.full(len(k), 255)], axis=1)
+            yield pd.DataFrame({"name": [f"part{k.min()}.splat"], "content": [a.tobytes()]})
+
+    files.write_files(fx.table(s, sf, "embeddings").select("vec_id", "embedding").mapInPandas(pack, "name string, content binary"), path)
+    return cloudio.read_splats(s, path).select("px", "py", "pz", "sx", "sy", "sz", *"rgba", "qw")
+
+
+@query("S14_read_binary_stl", K.sql("SELECT " + ", ".join(TRI) + " FROM t4", TR, _FT4))
+def _binary_stl(s, sf):
+    import numpy as np
+    import pandas as pd
+
+    path = scratch(s)
+
+    def pack(batches):
+        for pdf in batches:
+            a = np.zeros(len(pdf), [("n", "<f4", 3), ("v", "<f4", 9), ("k", "<u2")])
+            a["v"] = pdf[TRI].to_numpy()
+            head = b"solid but binary".ljust(80) + len(a).to_bytes(4, "little")
+            yield pd.DataFrame({"name": [f"mesh{pdf['key'].min()}.stl"], "content": [head + a.tobytes()]})
+
+    t = flat_tris(s, sf).withColumn("key", F.col("tri_id") * 5 + F.col("mesh_id")).drop("mesh_id", "tri_id")
+    files.write_files(t.mapInPandas(pack, "name string, content binary"), path)
+    return meshio.read_binary_stl(s, path).select(*TRI)
