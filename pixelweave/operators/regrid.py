@@ -271,7 +271,9 @@ def sample_at(points: DataFrame, p: DataFrame, u="u", v="v", keys: list[str] = I
     q = with_quad(p) if quads is None else quads
     lim = lambda e, n: F.greatest(d(0), F.least(d(n) - 1, e))
     t = points.withColumns({"_fx": lim(d(u) * d("sw") - 0.5, "sw"), "_fy": lim(d(v) * d("sh") - 0.5, "sh")})
-    t = t.withColumns({"_qx": F.floor("_fx").cast("int"), "_qy": F.floor("_fy").cast("int")})
+    # a key that cannot be null spares the join a null filter, which Catalyst would push down by
+    # repeating the whole sampling formula
+    t = t.withColumns({k: F.coalesce(F.floor(v).cast("int"), F.lit(-1)) for k, v in (("_qx", "_fx"), ("_qy", "_fy"))})
     quad_cols = [F.col(f"{ch}{s}").alias(f"_q{ch}{s}") for ch in RGBA for s in ("", "10", "01", "11")]
     q = q.select(*keys, F.col("x").alias("_qx"), F.col("y").alias("_qy"), *quad_cols)
     t = t.join(q, [*keys, "_qx", "_qy"], "inner")
