@@ -11,11 +11,11 @@ from . import recipes as rc
 from . import sqlkit as K
 from .catalog_graph import cc_join_sql
 from .catalog_raster import (
-    COVER, HIST, LHIST, OTSU, OUT, OUTS, PCT, _AT, blur_sql, gloss_sql, grad_sql, highlight_sql, hist_image_sql,
+    COVER, HIST, LHIST, OTSU, OUT, OUTS, PCT, _AT, _DD, _U, blur_sql, gloss_sql, grad_sql, highlight_sql, hist_image_sql,
     morph_sql, noise_sql, normal_sql, rnd, sobel_sql, srnd,
 )
 from .catalog_shapes import _ROT, tris
-from .catalog_views import LENS
+from .catalog_views import _CAP, _CELLS, _SMP, LENS, _height_sql, sheet_sql, size_sql, strips_sql
 from .registry import query
 
 PX, PART = K.PX, K.PART
@@ -57,11 +57,26 @@ query("Z6_gradient_histogram", K.sql(
 query("Z7_gradient_mesh", K.sql(
     "SELECT image_id AS mesh_id, (w*h*4 + 2*(2*w+2*h))::BIGINT AS triangles, 0e0 AS min_z FROM im", K.IMGS))(
     lambda s, sf: rc.gradient_mesh(fx.img_part(s, sf)).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("triangles"), F.min(F.least("az", "bz", "cz")).alias("min_z")))
-_FLIP = multiview.Lens(width_mm=10.0, ppi=90.0, lpi=20.0, height_mm=1.1, ri=1.5)
+_FLIP = multiview.Lens(width_mm=10.0, ppi=90.0, lpi=20.0, phase=0.3, height_mm=1.1, ri=1.5)
 query("Z8_spinner_sheet")(lambda s, sf: rc.spinner_sheet(fx.img_part(s, sf).withColumn("h", F.col("w")), LENS).select(*OUTS))
-query("Z9_animated_sheet")(lambda s, sf: (lambda f: rc.animated_sheet(fx.seq_pixels(f), f, _FLIP))(fx.seq_frames(s, sf)).select(*OUTS))
-query("Z11_two_frame_flip")(lambda s, sf: rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[0].select(*OUTS))
-query("Z11_flip_relief")(lambda s, sf: rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[1].select("image_id", "x", "y", "height"))
+_NEED = size_sql("vz", f"n*{_CELLS!r}::DOUBLE", "n")
+query("Z9_animated_sheet", K.sql(
+    f"SELECT {K.OUTS} FROM sm", K.FRAMES, K.SEQ, "nn AS (SELECT image_id, count(*)::INTEGER AS c FROM fr GROUP BY image_id)",
+    f"ix AS (SELECT image_id, i::INTEGER AS frame, CASE WHEN c <= 8 THEN i ELSE least(c-1, {K.jsr('i*c/8e0')}) END::INTEGER AS src FROM nn, range(8) t(i) WHERE i < c)",
+    "vw AS (SELECT s.image_id, ix.frame, w, h, x, y, r, g, b, a FROM sq s JOIN ix ON ix.image_id=s.image_id AND ix.src=s.frame)",
+    "vz AS (SELECT image_id, 4 AS w0, 4 AS h0, least(c, 8) AS n, 4 AS wm FROM nn)", _NEED, sheet_sql(_FLIP), strips_sql("4", "4"), _SMP))(
+    lambda s, sf: (lambda f: rc.animated_sheet(fx.seq_pixels(f), f, _FLIP))(fx.seq_frames(s, sf)).select(*OUTS))
+_EDGE = lambda e: K.clamp01(f"({_DD}-({_U}*{e}e0))/({_U}*0.03e0)+0.5e0")
+_DOTS = ("vw AS (SELECT image_id, frame, w, h, x, y, v AS r, v AS g, v AS b, 255 AS a FROM (SELECT image_id, 0 AS frame, w, h, x, y, "
+         + K.u8(f"255e0+(-255e0)*{K.clamp01(f'{_DD}/({_U}*0.45e0)')}") + " AS v FROM gr UNION ALL SELECT image_id, 1, w, h, x, y, "
+         + K.u8(f"255e0*({_EDGE(0.56)}*(1e0-{_EDGE(0.82)}))") + " FROM gr))")
+_DOTZ = "vz AS (SELECT image_id, w AS w0, h AS h0, 2 AS n, w AS wm FROM im)"
+query("Z11_two_frame_flip", K.sql(f"SELECT {K.OUTS} FROM sm", K.IMGS, K.GRID, _DOTS, _DOTZ, _NEED, sheet_sql(_FLIP), strips_sql("w0", "h0"), _SMP))(
+    lambda s, sf: rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[0].select(*OUTS))
+query("Z11_flip_relief", K.sql(
+    f"SELECT image_id, x, y, {_height_sql(_FLIP, 'o')} AS height FROM (SELECT *, abs((uu/pt+0.3e0-floor(uu/pt+0.3e0)-0.5e0)*pt) AS o FROM sh)", K.IMGS, _DOTZ,
+    f"sz AS (SELECT image_id, w0, h0, n, {_CAP} AS w, greatest(1, {K.jsr(f'{_CAP}*h0/w0::DOUBLE')}) AS h FROM vz)", sheet_sql(_FLIP)))(
+    lambda s, sf: rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[1].select("image_id", "x", "y", "height"))
 _MV = dict(cone_deg=30.0, distance=300.0, depth_mm=1.0, width_mm=60.0, height_mm=40.0, rotation=_ROT, width_px=18)
 query("Z12_mesh_grid_sheet")(lambda s, sf: rc.mesh_grid_sheet(tris(s, sf), LENS, 2, **_MV).select(*OUTS))
 query("Z13_mesh_strip_sheet")(lambda s, sf: rc.mesh_strip_sheet(tris(s, sf), _FLIP, 3, **_MV).select(*OUTS))

@@ -178,14 +178,14 @@ def sheet_sql(lens: mv.Lens, lo: float = 0, step: float = 0, n: int = 1, gap: fl
         slot = (f"CASE WHEN (-xm*{s}+ym*{c}-least({pts})) - least({n - 1}, greatest(0, floor((-xm*{s}+ym*{c}-least({pts}))/((greatest({pts})-least({pts}))/{n}))))*((greatest({pts})-least({pts}))/{n}) < {gap}e0 THEN NULL "
                 f"ELSE least({n - 1}, greatest(0, floor((-xm*{s}+ym*{c}-least({pts}))/((greatest({pts})-least({pts}))/{n})))) END")
     pitch = "25.4e0/20e0" if n == 1 else f"25.4e0/({lo}e0+{step}e0*slot)"
-    return (f"h0 AS (SELECT *, (x+0.5e0)*(10e0/w) AS xm, (y+0.5e0)*(10e0/w) AS ym, 10e0*h0/w0 AS hm FROM (SELECT sz.*, xo::INTEGER AS x, yo::INTEGER AS y FROM sz, range(128) a(xo), range(128) b(yo) WHERE xo<w AND yo<h)), "
+    return (f"h0 AS (SELECT *, (x+0.5e0)*(10e0/w) AS xm, (y+0.5e0)*(10e0/w) AS ym, 10e0*h0/w0 AS hm FROM (SELECT sz.*, xo::INTEGER AS x, yo::INTEGER AS y FROM sz, range(36) a(xo), range(160) b(yo) WHERE xo<w AND yo<h)), "
             f"h1 AS (SELECT *, {slot} AS slot, xm*{c}+ym*{s} AS uu, -xm*{s}+ym*{c} AS vv, {c} AS co, {s} AS si FROM h0), sh AS (SELECT *, {pitch} AS pt FROM h1)")
 
 
-def strips_sql() -> str:
+def strips_sql(sw: str = "8", sh: str = "8") -> str:
     return ("pp0 AS (SELECT *, uu/pt+0.3e0 AS po, floor(uu/pt+0.3e0) AS ce FROM sh WHERE slot IS NOT NULL), "
             "pp1 AS (SELECT *, least(n-1, CAST(floor((po-ce)*n) AS INTEGER)) AS frame, (ce+0.5e0-0.3e0)*pt-uu AS sf FROM pp0), "
-            "pts AS (SELECT *, (xm+sf*co)/10e0 AS u, (ym+sf*si)/hm AS v, 8 AS sw, 8 AS sh FROM pp1)")
+            f"pts AS (SELECT *, (xm+sf*co)/10e0 AS u, (ym+sf*si)/hm AS v, {sw} AS sw, {sh} AS sh FROM pp1)")
 
 
 _SMP = sample_sql("pts", "vw", "sm", "{t}.image_id=o.image_id AND {t}.frame=o.frame", "o.image_id, 0 AS frame, o.w, o.h, o.x, o.y")
