@@ -9,6 +9,8 @@ are compared word by word.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..schema import cut
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words are counted in so many hashed classes; the most frequent classes form levels of these sizes.
 CLASSES = 1 << 20
-LEVELS = (32, 128, 512, 2048, 8192)
+LEVELS = (64, 256, 1024, 4096)
 HASH = (1 << 56) - 1
 #: Rarest words of a line under which it looks for the first line of its kind.
 LEAD_WORDS = 3
@@ -27,7 +29,8 @@ FILTER_BITS, FILTER_WORDS = 16, 1 << 15
 
 def words_of(line: Column) -> Column:
     """The distinct words of a line, A-Z lower-cased, split at ASCII white space."""
-    return F.array_distinct(F.filter(F.split(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SPACE), lambda w: w != ""))
+    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_distinct(F.array_remove(F.split(low, SPACE), ""))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -47,17 +50,11 @@ def common_levels(lines: DataFrame) -> list[list[int]]:
     return out
 
 
-def ranked(words: Column, levels: list[list[int]]) -> Column:
-    """Words as numbers in the common order: rare before frequent, then by hash."""
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        c, level = F.pmod(h, F.lit(CLASSES)).cast("int"), F.lit(0)
-        for n, classes in enumerate(reversed(levels)):  # the smallest list, checked first, comes last
-            if classes:
-                level = F.when(c.isin(classes), len(levels) - (len(levels) - 1 - n)).otherwise(level)
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
-
-    return F.sort_array(F.transform(words, number))
+def ranked(words: str, levels: list[list[int]]) -> Column:
+    """The words in the named column as numbers in the common order: rare before frequent, then by hash."""
+    cases = [f"WHEN pmod(h, {CLASSES}) IN ({','.join(map(str, c))}) THEN {len(levels) - n}" for n, c in enumerate(levels) if c]
+    level = f"CASE {' '.join(cases)} ELSE 0 END" if cases else "0"
+    return F.expr(f"sort_array(transform(transform({words}, w -> xxhash64(w)), h -> shiftleft(CAST({level} AS BIGINT), 56) | (h & {HASH}L)))")
 
 
 def bitmap(numbers: Column, half: int) -> Column:
@@ -71,7 +68,7 @@ def bitmap(numbers: Column, half: int) -> Column:
 
 def distinct_lines(lines: DataFrame, levels: list[list[int]], t: float, least: int) -> DataFrame:
     """One row for each word set of at least ``least`` words: ``key`` (its hash), ``ord`` (its first line), ``n``, ``head`` (the words joined on), ``b0``, ``b1``."""
-    w = lines.select(F.struct("node_id", "text_hash", "line_no").alias("ord"), ranked(words_of(F.col("line")), levels).alias("_w"))
+    w = lines.select(F.struct("node_id", "text_hash", "line_no").alias("ord"), words_of(F.col("line")).alias("_s")).withColumn("_w", ranked("_s", levels))
     w = w.withColumn("n", F.size("_w")).filter(F.col("n") >= least)
     head = F.slice("_w", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1).cast("int"))
     # equal sets have equal heads and bitmaps, so the smallest struct is the first line's
@@ -127,7 +124,7 @@ def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFram
     levels = common_levels(lines)
     d = cut(distinct_lines(lines, levels, t, least))
     # 1. Lines of a kind: against the first line that shares a rare word and about the length.
-    kind = F.floor(F.log(F.lit(1 / t), F.col("n"))).cast("int")
+    kind = F.floor(F.ln("n") / F.lit(math.log(1 / t))).cast("int")
     rare = d.select("key", "ord", "n", "b0", "b1", kind.alias("kind"), F.explode(F.slice("head", 1, LEAD_WORDS)).alias("word"))
     lead = rare.groupBy("word", "kind").agg(F.min(F.struct("ord", "n", "b0", "b1", "key")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("word", "kind", "l.*")
     pairs = rare.alias("x").join(lead.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("y.ord") < F.col("x.ord")) & plausible(t))
@@ -144,7 +141,7 @@ def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFram
     gone = first.union(alike(pairs, lines, t)).distinct()
     # 3. Every line but the first of its set, and all lines of the sets that are gone.
     sets = d.select("key", "ord").join(gone.select(F.col("x").alias("key"), F.lit(True).alias("gone")), "key", "left")
-    w = lines.select("node_id", "text_hash", "line_no", ranked(words_of(F.col("line")), levels).alias("_w")).filter(F.size("_w") >= least)
+    w = lines.withColumn("_s", words_of(F.col("line"))).withColumn("_w", ranked("_s", levels)).filter(F.size("_w") >= least)
     w = w.select("node_id", "text_hash", "line_no", F.xxhash64("_w").alias("key")).join(sets, "key")
     own = F.struct("node_id", "text_hash", "line_no")
     return w.filter(F.col("gone").isNotNull() | (own != F.col("ord"))).select("node_id", "text_hash", "line_no")
