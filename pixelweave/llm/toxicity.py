@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 END = "$"
 #: Whole words at least this long are also found with one letter changed, added, left out.
 FUZZY_FROM = 5
+#: Least rows times log odds of a term; rarer or less telling beginnings of words are chance.
+EVIDENCE = 14.0
 #: Characters of context on each side of a hit.
 WINDOW = 80
 #: Marks that open and close a quotation, words that report speech, words that address the reader.
@@ -30,15 +32,17 @@ REPORTS = frozenset("said says wrote called quote quoted quoting reported stated
 ADDRESS = frozenset("you your you're youre u ur tu te toi vous votre du dich dein deine ihr euch tú usted te vuestro".split())
 
 #: Used when the labels hold only one class.
-DEFAULT_TERMS = tuple(w + END for w in "idiot moron stupid pathetic worthless loser scum trash disgusting".split())
-FEATURES = ["exact", "fuzzy", "quoted", "density"]
+DEFAULT_TERMS = tuple((w + END, 4.0) for w in "idiot moron stupid pathetic worthless loser scum trash disgusting".split())
+FEATURES = ["abuse", "fuzzy", "quoted", "hits"]
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    terms: tuple[str, ...] = DEFAULT_TERMS
-    weights: tuple[float, ...] = (2.0, 1.0, 0.3, 0.5)
-    bias: float = -3.0
+    """``terms`` with their log odds, ``weights`` of the features and a bias."""
+
+    terms: tuple[tuple[str, float], ...] = DEFAULT_TERMS
+    weights: tuple[float, ...] = (1.5, 1.0, 0.3, 0.5)
+    bias: float = -3.5
 
 
 @dataclass
@@ -115,8 +119,8 @@ class Automaton:
                 kinds[i] = self.letters.get(chr(i), 1)
         self.kinds = kinds
 
-    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, accept) of the words that hit, and the starts of all words, of a lower-cased text."""
+    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, accept) of the words that hit, of a lower-cased text."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         kind = np.zeros(len(codes) + 1, dtype=np.uint8)
         low = codes < len(self.kinds)
@@ -139,7 +143,7 @@ class Automaton:
             word, state, j = word[live], state[live], j + 1
         w = np.concatenate(got_word) if got_word else np.zeros(0, dtype=np.int64)
         k = np.concatenate(got_kind) if got_kind else np.zeros(0, dtype=np.int8)
-        return starts[w], ends[w], k, starts
+        return starts[w], ends[w], k
 
 
 def is_quoted(text: str, start: int, end: int) -> bool:
@@ -153,8 +157,24 @@ def is_quoted(text: str, start: int, end: int) -> bool:
     return any(w in REPORTS for w in near) and not any(w in ADDRESS for w in near[-3:])
 
 
-def features_of(texts: list[str | None], auto: Automaton) -> np.ndarray:
-    """(texts, FEATURES): log counts of hits that abuse, of misspelled ones and of quoted ones, and hits per 100 words."""
+def one_edit(a: str, b: str) -> bool:
+    """Whether two different words are one letter apart."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[k + (len(a) == len(b)):] == b[k + 1:]
+
+
+def term_weight(word: str, exact: bool, terms: dict[str, float]) -> float:
+    """Log odds of the term that a hit stands for: the word, its longest stem, or the best word one edit away."""
+    if exact:
+        return terms.get(word + END) or next(terms[word[:n]] for n in range(len(word), 0, -1) if word[:n] in terms)
+    return max((w for t, w in terms.items() if t.endswith(END) and one_edit(word, t[:-1])), default=0.0)
+
+
+def features_of(texts: list[str | None], auto: Automaton, terms: dict[str, float]) -> np.ndarray:
+    """(texts, FEATURES): logs of the summed odds of the different terms that abuse, of misspelled and of quoted ones, and of the number of hits."""
     out = np.zeros((len(texts), len(FEATURES)))
     low = [(t or "").lower() for t in texts]
     k = 0
@@ -163,29 +183,27 @@ def features_of(texts: list[str | None], auto: Automaton) -> np.ndarray:
         while stop < len(low) and (stop == k or size + len(low[stop]) < 1 << 21):  # texts read side by side
             size += len(low[stop]) + 1
             stop += 1
-        joined = " ".join(low[k:stop])
         base = np.cumsum([0] + [len(t) + 1 for t in low[k:stop]])
-        start, end, kind, words = auto.hits(joined)
-        many = np.diff(np.searchsorted(words, base))
-        for s, e, a in zip(start.tolist(), end.tolist(), kind.tolist()):
+        met: set[tuple[int, int, str]] = set()
+        for s, e, a in zip(*(x.tolist() for x in auto.hits(" ".join(low[k:stop])))):
             row = int(np.searchsorted(base, s, side="right")) - 1
-            own = low[k + row]
-            c = 2 if is_quoted(own, s - int(base[row]), e - int(base[row])) else 0 if a == 2 else 1
-            out[k + row, c] += 1
-        total = out[k:stop, :3].sum(axis=1)
-        out[k:stop, 3] = 100 * total / np.maximum(many, 1)
+            s, e, own = s - int(base[row]), e - int(base[row]), low[k + row]
+            c = 2 if is_quoted(own, s, e) else 0 if a == 2 else 1
+            out[k + row, 3] += 1
+            if (row, c, own[s:e]) not in met:
+                met.add((row, c, own[s:e]))
+                out[k + row, c] += term_weight(own[s:e], a == 2, terms)
         k = stop
-    out[:, :3] = np.log1p(out[:, :3])
-    out[:, 3] = np.minimum(out[:, 3], 10)
-    return out
+    return np.log1p(out)
 
 
-def learn_terms(sample: DataFrame, limit: int = 200) -> tuple[str, ...]:
-    """Terms of the toxic rows of ``sample(text, toxic)``: words and stems that clean rows hardly hold.
+def learn_terms(sample: DataFrame, limit: int = 400) -> tuple[tuple[str, float], ...]:
+    """Terms of the toxic rows of ``sample(text, toxic)`` with their log odds: words and stems that clean rows hardly hold.
 
     Counted are the rows of each class that hold a beginning of a word (four to twelve letters, or the
-    whole word). A beginning is kept with at least 5 and 2 % of the toxic rows and fifty times as many toxic
-    as clean rows, and made longer while it keeps 95 % of its rows; at most ``limit`` are kept.
+    whole word). A beginning is kept if at least four and one in 150 of the toxic rows hold it and its share of them is ten
+    times its share of the clean rows, and made longer while it keeps 95 % of its rows; the ``limit`` of most
+    evidence stay.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: tuple[Counter, Counter] = (Counter(), Counter())
@@ -199,23 +217,26 @@ def learn_terms(sample: DataFrame, limit: int = 200) -> tuple[str, ...]:
             part = both[s:s + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([count[1][w] for w in part], pa.int64()), pa.array([count[0][w] for w in part], pa.int64())], names=["term", "bad", "good"])
 
-    total = sample.agg(F.sum("toxic")).first()[0] or 0
-    least = max(5, total // 50)
-    counts = sample.select("text", "toxic").mapInArrow(run, "term string, bad long, good long")
-    counts = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter((F.col("bad") >= least) & (F.col("good") * 50 <= F.col("bad")))
-    rows = {r["term"]: r["bad"] for r in counts.orderBy(F.col("bad").desc(), "term").limit(20 * limit).collect()}
-    longer: dict[str, str] = {}
+    n = sample.agg(F.count("*").alias("rows"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    if not 0 < n["bad"] < n["rows"]:
+        return ()
+    odds = F.log(((F.col("bad") + 0.5) / (n["bad"] + 1)) / ((F.col("good") + 0.5) / (n["rows"] - n["bad"] + 1)))
+    counts = sample.select("text", "toxic").mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = counts.withColumn("odds", odds).filter((F.col("bad") >= max(4, n["bad"] // 150)) & (F.col("odds") >= float(np.log(10))) & (F.col("bad") * F.col("odds") >= EVIDENCE))
+    rows = {r["term"]: (r["bad"], r["odds"]) for r in counts.orderBy((F.col("bad") * F.col("odds")).desc(), "term").limit(20 * limit).collect()}
+    best: dict[str, str] = {}  # beginning -> the longest one that keeps its rows
     for t in sorted(rows, key=len, reverse=True):
-        grown = [x for x in (longer.get(t + c) for c in {w[len(t)] for w in rows if len(w) > len(t) and w.startswith(t)}) if x and rows[x] >= 0.95 * rows[t]]
-        longer[t] = max(grown, key=lambda x: rows[x]) if grown else t
-    kept: list[str] = []
-    for t in sorted(set(longer.values()), key=lambda x: (-rows[x], len(x), x)):
-        if not any(t.startswith(k) for k in kept) and len(kept) < limit:
-            kept.append(t)
-    return tuple(sorted(kept))
+        grown = [best[t + c] for c in sorted({w[len(t)] for w in rows if len(w) > len(t) and w.startswith(t)}) if t + c in best]
+        grown = [x for x in grown if rows[x][0] >= 0.95 * rows[t][0]]
+        best[t] = max(grown, key=lambda x: rows[x][0]) if grown else t
+    kept: dict[str, float] = {}
+    for t in sorted(set(best.values()), key=lambda x: (-rows[x][0] * rows[x][1], len(x), x)):
+        if len(kept) < limit and not any(t.startswith(k) for k in kept):
+            kept[t] = float(rows[t][1])
+    return tuple(sorted(kept.items()))
 
 
-def fit_model(texts: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> ToxicModel:
+def fit_model(texts: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> ToxicModel:
     """A model from ``labels(node_id, toxic)`` of ``texts(node_id, text)``.
 
     It is fitted on at most about ``sample_rows`` labelled rows, those with the smallest hashes of their ids
@@ -231,9 +252,9 @@ def fit_model(texts: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> T
         return ToxicModel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(terms)
+        auto = Automaton(tuple(t for t, _ in terms))
         for b in batches:
-            x = features_of(b.column("text").to_pylist(), auto)
+            x = features_of(b.column("text").to_pylist(), auto, dict(terms))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(len(FEATURES))] + [b.column("toxic").cast(pa.int32())], names=[*FEATURES, "toxic"])
 
     got = sample.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} double" for c in FEATURES) + ", toxic int").toPandas()
@@ -254,8 +275,8 @@ def fit_model(texts: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> T
 def score_toxicity(texts: DataFrame, model: ToxicModel) -> DataFrame:
     """All columns of ``texts(node_id, text, ...)`` and ``score`` (0 to 1, higher: likelier toxic), ``predicted``.
 
-    The score is a logistic function of four features of the whole text: hits of lexicon terms that abuse,
-    misspelled ones, quoted ones, and the density of hits. Nothing but the text is read. Null and empty texts
+    The score is a logistic function of four features of the whole text: the odds of the lexicon terms that abuse,
+    of misspelled ones, of quoted ones, and the number of hits. Nothing but the text is read. Null and empty texts
     score like texts without a hit. Rows are neither dropped nor joined: repeated rows score alike, null ids stay, an
     empty table gives no rows, columns named like the new ones are replaced. ``predicted`` is 1 from 0.5 on.
     """
@@ -263,9 +284,9 @@ def score_toxicity(texts: DataFrame, model: ToxicModel) -> DataFrame:
     kept = texts.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(terms)
+        auto = Automaton(tuple(t for t, _ in terms))
         for b in batches:
-            z = features_of(b.column("text").to_pylist(), auto) @ w + bias
+            z = features_of(b.column("text").to_pylist(), auto, dict(terms)) @ w + bias
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*b.schema.names, "score"])
 
     from pyspark.sql import types as T

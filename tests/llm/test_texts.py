@@ -318,7 +318,7 @@ def test_automaton_is_levenshtein():
             w[k:k + rng.choice([0, 1])] = rng.choice([[], [rng.choice(letters)]])
         tested.add("".join(w) or "a")
     tested = sorted(tested)
-    start, end, kind, starts = auto.hits(" ".join(tested))
+    start, end, kind = auto.hits(" ".join(tested))
     got = dict(zip(start.tolist(), kind.tolist()))
     at = 0
     for w in tested:
@@ -328,6 +328,14 @@ def test_automaton_is_levenshtein():
         at += len(w) + 1
 
 
+def test_one_edit():
+    words = ["a", "ab", "abc", "acb", "abd", "xabc", "abcx", "bc", "axbc", "abxx"]
+    for a in words:
+        for b in words:
+            if a != b:
+                assert toxicity.one_edit(a, b) == (edits(a, b) == 1), (a, b)
+
+
 def test_toxicity_learns_and_scores(frame, spark):
     rng = random.Random(9)
     rows, labels = [], []
@@ -340,7 +348,7 @@ def test_toxicity_learns_and_scores(frame, spark):
         labels.append((i, int(toxic)))
     lab = spark.createDataFrame(labels, "node_id long, toxic int")
     model = toxicity.fit_model(frame(rows), lab.filter("node_id % 5 != 0"))
-    assert {"idiot$", "moron$"} <= set(model.terms)
+    assert {"idiot$", "moron$"} <= {t for t, _ in model.terms}
     more = [(-1, "t", "you absolute idoit and mooron, idiot", "x"), (-2, "t", "He said: \"idiot\" is a word.", "x"), *ODD]
     out = toxicity.score_toxicity(frame(rows + more), model)
     assert out.columns == ["node_id", "node_type", "text", "score", "predicted"]
