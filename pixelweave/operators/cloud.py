@@ -16,9 +16,7 @@ from .sweep import eye_offset
 
 # fixed values of the projection
 MIN_VARIANCE_PX = 0.3
-MAX_RADIUS_PX = 512
 DEPTH_BUCKETS = 1 << 16
-SCAN_PER_BUDGET = 16
 
 
 @dataclass(frozen=True)
@@ -52,7 +50,7 @@ class CloudView:
         return [(off(c, self.cols), -off(r, self.rows)) for r in range(self.rows) for c in range(self.cols)]
 
     def raster(self) -> tuple[int, int, int]:
-        ss = min(3, max(1, math.floor(self.supersample + 0.5)))
+        ss = max(1, math.floor(self.supersample + 0.5))
         w = max(8, math.floor(self.width_px + 0.5)) * ss
         return w, max(8, math.floor(self.width_px * self.height_mm / max(1e-6, self.width_mm) + 0.5)) * ss, ss
 
@@ -196,7 +194,7 @@ def splat_footprint(t: DataFrame, v: CloudView) -> DataFrame:
     lam = (F.col("_a") + F.col("_b")) / 2 + F.sqrt(F.greatest(d(0), half * half + F.col("_c") * F.col("_c")))
     t = t.withColumns({
         "i00": F.col("_b") / F.col("_det"), "i01": -F.col("_c") / F.col("_det"), "i11": F.col("_a") / F.col("_det"),
-        "radius": F.least(F.lit(MAX_RADIUS_PX), F.ceil(F.sqrt(F.greatest(lam, d(MIN_VARIANCE_PX))) * 3).cast("int")),
+        "radius": F.ceil(F.sqrt(F.greatest(lam, d(MIN_VARIANCE_PX))) * 3).cast("int"),
         "sx_px": (F.col("_X") + hw) * kpx, "sy_px": (d(hh) - F.col("_Y")) * kpx,
     })
     box = lambda c, hi, lim: (F.least(F.lit(lim - 1), F.ceil(F.col(c) + F.col("radius")).cast("int")) if hi
@@ -258,11 +256,8 @@ def resolve_depth(acc: DataFrame, v: CloudView) -> tuple[DataFrame, DataFrame]:
 
 
 def cloud_views(splats: DataFrame, v: CloudView) -> DataFrame:
-    """The run or grid of views of every cloud: scan, cull, thin to the budget, project, blend, resolve."""
-    src = splats
-    if v.budget > 0:  # the scan itself is strided on very large clouds
-        src = stride_sample(src, "cloud_id", "splat_id", v.budget * SCAN_PER_BUDGET).drop("dropped")
-    kept = cull_cloud(src, v).filter("state = 'kept'").drop("state")
+    """The run or grid of views of every cloud: cull, thin to the budget, project, blend, resolve."""
+    kept = cull_cloud(splats, v).filter("state = 'kept'").drop("state")
     if v.budget > 0:
         kept = thin_to_budget(kept, "cloud_id", "splat_id", v.budget).drop("dropped")
     acc = composite_splats(splat_footprint(camera_covariance(kept, v.camera), v))

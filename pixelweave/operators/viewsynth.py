@@ -15,13 +15,13 @@ from .neighborhood import box_blur
 from .regrid import resize_bilinear, sample_at
 from .sweep import MAX_POPOUT, cover_scale, eye_offset, plane_facing, plane_hit
 
-MIN_VIEW_PX, MAX_VIEW_PX = 16, 4096  # fixed values: allowed working widths
+MIN_VIEW_PX = 16  # fixed value: smallest working width
 
 
 def working_size(p: DataFrame, width_px: int = 0) -> DataFrame:
     """Adds ``tw``, ``th``: the working raster of each picture."""
     want = F.lit(int(width_px)) if width_px > 0 else F.col("w")
-    tw = F.least(F.lit(MAX_VIEW_PX), F.greatest(F.lit(MIN_VIEW_PX), want))
+    tw = F.greatest(F.lit(MIN_VIEW_PX), want)
     return p.withColumn("tw", tw).withColumn("th", F.greatest(F.lit(1), jsround(d("h") * F.col("tw") / F.greatest(F.col("w"), F.lit(1)))))
 
 

@@ -94,7 +94,7 @@ query("J11_broadcast_still", K.sql(
     lambda s, sf: (lambda p: compose.broadcast_still(p, p.filter("frame = 1"), "screen"))(fx.seq_pixels(fr(s, sf))).select(*OUT))
 query("J12_hold_last_join", K.sql(
     "SELECT image_id, frame, x, y, " + ", ".join(f"{K.u8(f'abs(p.{c}-q.{c})')} AS {c}" for c in "rgb") + ", greatest(p.a, q.a) AS a FROM sq p JOIN "
-    "(SELECT n.image_id, f::INTEGER AS frame, s.x, s.y, s.r, s.g, s.b, s.a FROM nn n, range(2000) t(f) JOIN sq s ON s.image_id=n.image_id AND s.frame=least(f, greatest(1, n.n//3)-1) WHERE f < n.n) q "
+    "(SELECT n.image_id, f::INTEGER AS frame, s.x, s.y, s.r, s.g, s.b, s.a FROM (SELECT * FROM nn, range(nn.n) t(f)) n JOIN sq s ON s.image_id=n.image_id AND s.frame=least(f, greatest(1, n.n//3)-1)) q "
     "USING (image_id, frame, x, y)", FR, _N, SQ))(
     lambda s, sf: (lambda f: compose.hold_last_join(
         fx.seq_pixels(f), fx.seq_pixels(f.join(sq.lengths(f), "image_id").filter("frame < greatest(1, n div 3)")), "difference", same_size=True).select(*OUT))(fr(s, sf)))

@@ -328,11 +328,10 @@ for _m in ("over", "under"):
 
 # sizes differ (8x8 under 16x16) and each side has images the other lacks
 _FIT = ("fit AS (SELECT t.image_id, t.frame, t.w, t.h, xo::INTEGER AS x, yo::INTEGER AS y, p.r, p.g, p.b, p.a FROM "
-        "(SELECT i.image_id, i.frame, i.w AS sw, i.h AS sh, coalesce(z.w, i.w) AS w, coalesce(z.h, i.h) AS h "
+        "(SELECT * FROM (SELECT i.image_id, i.frame, i.w AS sw, i.h AS sh, coalesce(z.w, i.w) AS w, coalesce(z.h, i.h) AS h "
         "FROM (SELECT DISTINCT image_id, frame, w, h FROM {b}) i LEFT JOIN (SELECT DISTINCT image_id, frame, w, h FROM {a}) z "
-        "USING (image_id, frame)) t, range(64) tx(xo), range(64) ty(yo) JOIN {b} p ON p.image_id=t.image_id AND p.frame=t.frame "
-        "AND p.x = least(sw-1, CAST(floor(xo/t.w::DOUBLE*sw) AS INTEGER)) AND p.y = least(sh-1, CAST(floor(yo/t.h::DOUBLE*sh) AS INTEGER)) "
-        "WHERE xo < t.w AND yo < t.h)")
+        "USING (image_id, frame)) u, range(u.w) tx(xo), range(u.h) ty(yo)) t JOIN {b} p ON p.image_id=t.image_id AND p.frame=t.frame "
+        "AND p.x = least(sw-1, CAST(floor(xo/t.w::DOUBLE*sw) AS INTEGER)) AND p.y = least(sh-1, CAST(floor(yo/t.h::DOUBLE*sh) AS INTEGER)))")
 query("J1_combine_resized_outer", K.sql(
     "SELECT image_id, frame, coalesce(p.w, q.w) AS w, coalesce(p.h, q.h) AS h, x, y, " + ", ".join(
         f"CASE WHEN p.w IS NOT NULL AND q.w IS NOT NULL THEN {K.u8(f'255e0-(255e0-p.{c})*(255e0-q.{c})/255e0')} "
@@ -448,8 +447,7 @@ def bilinear_sql(src: str, dst: str, tw: str, th: str) -> str:
     return (
         f"{dst}i AS (SELECT DISTINCT image_id, frame, w AS sw, h AS sh, {tw} AS tw, {th} AS th FROM {src}), "
         f"{dst}o AS (SELECT *, CAST(floor(fx) AS INTEGER) AS x0, CAST(floor(fy) AS INTEGER) AS y0, fx-floor(fx) AS wx, fy-floor(fy) AS wy FROM "
-        f"(SELECT *, xo::INTEGER AS x, yo::INTEGER AS y, {pos('xo', 'tw', 'sw')} AS fx, {pos('yo', 'th', 'sh')} AS fy FROM {dst}i, range(64) u(xo), range(64) v(yo) "
-        f"WHERE xo < tw AND yo < th)), "
+        f"(SELECT *, xo::INTEGER AS x, yo::INTEGER AS y, {pos('xo', 'tw', 'sw')} AS fx, {pos('yo', 'th', 'sh')} AS fy FROM {dst}i, range(tw) u(xo), range(th) v(yo))), "
         f"{dst} AS (SELECT o.image_id, o.frame, tw::INTEGER AS w, th::INTEGER AS h, o.x, o.y, {', '.join(f'{mixed(c)} AS {c}' for c in 'rgba')} FROM {dst}o o "
         f"{key('a', 'x0', 'y0')} {key('b', 'least(sw-1,x0+1)', 'y0')} {key('c', 'x0', 'least(sh-1,y0+1)')} "
         f"{key('d', 'least(sw-1,x0+1)', 'least(sh-1,y0+1)')})"
@@ -711,7 +709,7 @@ def rotate_sql(src: str, dst: str, deg: float) -> str:
     return (
         f"{dst}i AS (SELECT DISTINCT image_id, frame, w AS sw, h AS sh FROM {src}), "
         f"{dst}j AS (SELECT *, {ext(c, f'(-{s})')} AS nw, {ext(s, c)} AS nh FROM {dst}i), "
-        f"{dst}k AS (SELECT *, xo::INTEGER AS x, yo::INTEGER AS y, xo+0.5e0-nw/2e0 AS dx, yo+0.5e0-nh/2e0 AS dy FROM {dst}j, range(64) u(xo), range(64) v(yo) WHERE xo<nw AND yo<nh), "
+        f"{dst}k AS (SELECT *, xo::INTEGER AS x, yo::INTEGER AS y, xo+0.5e0-nw/2e0 AS dx, yo+0.5e0-nh/2e0 AS dy FROM {dst}j, range(nw) u(xo), range(nh) v(yo)), "
         f"{dst}l AS (SELECT *, dx*{c}+dy*{s}+sw/2e0-0.5e0 AS sx, -dx*{s}+dy*{c}+sh/2e0-0.5e0 AS sy FROM {dst}k), "
         f"{dst}o AS (SELECT *, sx>=0 AND sy>=0 AND sx<=sw-1 AND sy<=sh-1 AS ok, CAST(floor(sx) AS INTEGER) AS x0, CAST(floor(sy) AS INTEGER) AS y0, "
         f"sx-floor(sx) AS wx, sy-floor(sy) AS wy FROM {dst}l), "
@@ -732,8 +730,8 @@ on_px("R6_seamless_tile", lambda p: regrid.seamless_tile(p, 0.6), K.sql(
 def nearest_sql(src: str, dst: str, tw: str, th: str, keep: str = "") -> str:
     return (f"{dst}i AS (SELECT DISTINCT image_id, frame, w AS sw, h AS sh{keep}, {tw} AS tw, {th} AS th FROM {src}), "
             f"{dst} AS (SELECT i.image_id, i.frame, tw::INTEGER AS w, th::INTEGER AS h, xo::INTEGER AS x, yo::INTEGER AS y{keep.replace(',', ', i.')}, p.r, p.g, p.b, p.a "
-            f"FROM {dst}i i, range(64) u(xo), range(64) v(yo) JOIN {src} p ON p.image_id=i.image_id AND p.frame=i.frame AND "
-            f"p.x=least(sw-1, CAST(floor(xo/tw::DOUBLE*sw) AS INTEGER)) AND p.y=least(sh-1, CAST(floor(yo/th::DOUBLE*sh) AS INTEGER)) WHERE xo<tw AND yo<th)")
+            f"FROM (SELECT * FROM {dst}i, range(tw) u(xo), range(th) v(yo)) i JOIN {src} p ON p.image_id=i.image_id AND p.frame=i.frame AND "
+            f"p.x=least(sw-1, CAST(floor(xo/tw::DOUBLE*sw) AS INTEGER)) AND p.y=least(sh-1, CAST(floor(yo/th::DOUBLE*sh) AS INTEGER)))")
 
 
 _NZ = (IM, GR, noise_sql("gr", 2.0, "image_id"))

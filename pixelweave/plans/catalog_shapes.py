@@ -246,7 +246,7 @@ _FP = (
     "f0 AS (SELECT cv.* EXCLUDE (t), v.view, v.ex, 300e0/(300e0-cz) AS t FROM cv, (VALUES " + ", ".join(f"({i}, {e!r}::DOUBLE)" for i, e in enumerate(_EX)) + ") v(view, ex) WHERE a <> 0), "
     "f1 AS (SELECT *, ex+t*(cx-ex) AS bx, t*cy AS b_y, (cx-ex)*t*t/300e0 AS j0, cy*t*t/300e0 AS j1 FROM f0), "
     f"f2 AS (SELECT *, (t*t*k00+2*t*j0*k02+j0*j0*k22)*{_KP}*{_KP}+0.3e0 AS va, (t*t*k11+2*t*j1*k12+j1*j1*k22)*{_KP}*{_KP}+0.3e0 AS vb, (t*t*k01+t*j1*k02+j0*t*k12+j0*j1*k22)*{_KP}*{_KP} AS vc FROM f1 WHERE abs(bx) <= 60 AND abs(b_y) <= 40), "
-    f"fp AS (SELECT *, va*vb-vc*vc AS det, least(512, ceil(3*sqrt(greatest((va+vb)/2+sqrt(greatest(0, (va-vb)/2*(va-vb)/2+vc*vc)), 0.3e0))))::INTEGER AS radius, (bx+30)*{_KP} AS sx_px, (20-b_y)*{_KP} AS sy_px FROM f2)"
+    f"fp AS (SELECT *, va*vb-vc*vc AS det, ceil(3*sqrt(greatest((va+vb)/2+sqrt(greatest(0, (va-vb)/2*(va-vb)/2+vc*vc)), 0.3e0)))::INTEGER AS radius, (bx+30)*{_KP} AS sx_px, (20-b_y)*{_KP} AS sy_px FROM f2)"
 )
 query("X7_splat_footprint", K.sql(
     f"SELECT splat_id, view, radius, {srnd('sx_px', 5)} AS sx_px, {srnd('sy_px', 5)} AS sy_px, {srnd('vb/det', 5)} AS i00, {srnd('-vc/det', 5)} AS i01, {srnd('va/det', 5)} AS i11 FROM fp", SPL, _CS, _CV, _FP))(

@@ -178,7 +178,7 @@ def sheet_sql(lens: mv.Lens, lo: float = 0, step: float = 0, n: int = 1, gap: fl
         slot = (f"CASE WHEN (-xm*{s}+ym*{c}-least({pts})) - least({n - 1}, greatest(0, floor((-xm*{s}+ym*{c}-least({pts}))/((greatest({pts})-least({pts}))/{n}))))*((greatest({pts})-least({pts}))/{n}) < {gap}e0 THEN NULL "
                 f"ELSE least({n - 1}, greatest(0, floor((-xm*{s}+ym*{c}-least({pts}))/((greatest({pts})-least({pts}))/{n})))) END")
     pitch = "25.4e0/20e0" if n == 1 else f"25.4e0/({lo}e0+{step}e0*slot)"
-    return (f"h0 AS (SELECT *, (x+0.5e0)*(10e0/w) AS xm, (y+0.5e0)*(10e0/w) AS ym, 10e0*h0/w0 AS hm FROM (SELECT sz.*, xo::INTEGER AS x, yo::INTEGER AS y FROM sz, range(36) a(xo), range(160) b(yo) WHERE xo<w AND yo<h)), "
+    return (f"h0 AS (SELECT *, (x+0.5e0)*(10e0/w) AS xm, (y+0.5e0)*(10e0/w) AS ym, 10e0*h0/w0 AS hm FROM (SELECT sz.*, xo::INTEGER AS x, yo::INTEGER AS y FROM sz, range(w) a(xo), range(h) b(yo))), "
             f"h1 AS (SELECT *, {slot} AS slot, xm*{c}+ym*{s} AS uu, -xm*{s}+ym*{c} AS vv, {c} AS co, {s} AS si FROM h0), sh AS (SELECT *, {pitch} AS pt FROM h1)")
 
 
@@ -266,14 +266,14 @@ def grid_counts(s, sf):
     return fx.table(s, sf, "part").select(k.alias("image_id"), (k % 18).alias("cols"), (F.col("p_size") % 7).alias("rows"))
 
 
-_GC = ("gc AS (SELECT p_partkey AS image_id, least(15, greatest(2, p_partkey%18))::INTEGER AS cols, least(15, greatest(2, p_size%7))::INTEGER AS rows FROM part), "
-       "ge AS (SELECT image_id, cols, rows, c::INTEGER AS col, r::INTEGER AS row_ FROM gc, range(15) a(c), range(15) b(r) WHERE c<cols AND r<rows)")
+_GC = ("gc AS (SELECT p_partkey AS image_id, greatest(2, p_partkey%18)::INTEGER AS cols, greatest(2, p_size%7)::INTEGER AS rows FROM part), "
+       "ge AS (SELECT image_id, cols, rows, c::INTEGER AS col, r::INTEGER AS row_ FROM gc, range(cols) a(c), range(rows) b(r))")
 _AX = lambda i, n, lo, hi: (
     f"CASE WHEN {i}*2=({n}-1) THEN 'Centre' WHEN ceil(({n}-1)/2e0)<=1 THEN CASE WHEN {i}*2<{n}-1 THEN '{lo}' ELSE '{hi}' END WHEN ceil(({n}-1)/2e0)=2 THEN CASE WHEN ceil(abs({i}-({n}-1)/2e0))=1 THEN "
     f"CASE WHEN {i}*2<{n}-1 THEN '{lo}' ELSE '{hi}' END ELSE 'Far ' || lower(CASE WHEN {i}*2<{n}-1 THEN '{lo}' ELSE '{hi}' END) END ELSE CASE WHEN {i}*2<{n}-1 THEN '{lo}' ELSE '{hi}' END || ' ' || ceil(abs({i}-({n}-1)/2e0))::INTEGER END")
 _LAB = ("gl AS (SELECT *, 'c' || col || 'r' || row_ AS id, CASE WHEN ax='Centre' AND ay='Centre' THEN 'Centre (neutral)' WHEN ax='Centre' THEN ay WHEN ay='Centre' THEN ax ELSE ax || ' · ' || ay END AS label FROM "
         f"(SELECT *, {_AX('col', 'cols', 'Left', 'Right')} AS ax, {_AX('row_', 'rows', 'Up', 'Down')} AS ay FROM ge))")
-query("V10_switch_views", "SELECT p_partkey AS image_id, i::INTEGER AS frame, CASE WHEN i%2=0 THEN 255 ELSE 0 END AS r FROM part, range(60) t(i) WHERE i < greatest(2, p_size)")(
+query("V10_switch_views", "SELECT p_partkey AS image_id, i::INTEGER AS frame, CASE WHEN i%2=0 THEN 255 ELSE 0 END AS r FROM part, range(greatest(2, p_size)) t(i)")(
     lambda s, sf: mv.switch_views(fx.table(s, sf, "part").select(F.col("p_partkey").alias("image_id"), F.col("p_size").alias("n"))).select("image_id", "frame", "r"))
 query("V10_switch_views_grid", K.sql("SELECT image_id, row_*cols+col AS frame, CASE WHEN (col+row_)%2=0 THEN 255 ELSE 0 END AS r FROM ge", _GC))(
     lambda s, sf: mv.switch_views(grid_counts(s, sf), "grid").select("image_id", "frame", "r"))
@@ -283,7 +283,7 @@ _BEAR = " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(mv.BEARINGS))
 query("V11_radial_views", (
     "SELECT image_id, view, 'a' || view AS id, angle_deg, CASE WHEN angle_deg/45e0=floor(angle_deg/45e0) THEN t || '° · ' || CASE (angle_deg/45e0)::INTEGER%8 " + _BEAR + " END ELSE t || '°' END AS label FROM "
     "(SELECT *, CASE WHEN tn=floor(tn) THEN tn::INTEGER::VARCHAR ELSE tn::VARCHAR END AS t FROM (SELECT p_partkey AS image_id, i::INTEGER AS view, i*360e0/n AS angle_deg, floor(i*360e0/n*10+0.5e0)/10e0 AS tn FROM "
-    "(SELECT p_partkey, least(12, greatest(2, p_partkey%14)) AS n FROM part), range(12) t(i) WHERE i<n))"))(
+    "(SELECT p_partkey, greatest(2, p_partkey%14) AS n FROM part), range(n) t(i)))"))(
     lambda s, sf: mv.radial_views(fx.table(s, sf, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 14).alias("n"))).select("image_id", "view", "id", "angle_deg", "label"))
 query("V12_missing_views", K.sql(
     "SELECT image_id, count(*) AS n_missing, CASE WHEN count(*) <= 6 THEN string_agg(label, ', ' ORDER BY pos) ELSE string_agg(label, ', ' ORDER BY pos) FILTER (k <= 6) || ' … and ' || (count(*)-6) || ' more' END AS summary "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def u8(e: str) -> str:
     return f"CAST(greatest(0e0, least(255e0, round_even(CAST({e} AS DOUBLE), 0))) AS INTEGER)"
@@ -76,7 +78,9 @@ OUTS = "image_id, frame, w, h, x, y, r, g, b, a"
 
 
 def sql(body: str, *ctes: str) -> str:
-    return "WITH RECURSIVE " + ", ".join(ctes) + " " + body
+    """A query over CTEs. Each is evaluated once; inlined, a join of two of them may be planned as a join of their ranges."""
+    once = re.sub(r"\b(\w+) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", ", ".join(ctes))
+    return f"WITH RECURSIVE {once} {body}"
 
 
 def rgb_map(fn, src: str = "px", a: str = "a", ctes=(PX,)) -> str:

@@ -16,11 +16,12 @@ def read_images(spark: SparkSession, path: str, max_size: int = 0) -> tuple[Data
 
     Spark's image source decodes in the executors (bytes in B, G, R(, A) order, row by row); the
     bytes are unpacked in Arrow batches of whole pixels.  The id is a hash of the file name.
+    Files that cannot be decoded are in neither table; ``unreadable_images`` lists them.
     """
     import numpy as np
     import pyarrow as pa
 
-    src = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    src = spark.read.format("image").load(path).select("image.*").filter("width > 0")
     src = src.withColumn("image_id", F.xxhash64("origin"))
 
     def unpack(batches):
@@ -45,6 +46,12 @@ def read_images(spark: SparkSession, path: str, max_size: int = 0) -> tuple[Data
     return images, p
 
 
+def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, origin) of the files of a folder that ``read_images`` could not decode."""
+    src = spark.read.format("image").load(path).select("image.*").filter("width <= 0")
+    return src.select(F.xxhash64("origin").alias("image_id"), "origin")
+
+
 def write_pixels(p: DataFrame, path: str, buckets: int = 64, mode: str = "errorifexists") -> None:
     """Parquet in hash buckets of (image, row block): a bucket stays bounded even for one dominant image."""
     key = F.pmod(F.xxhash64("image_id", F.floor(F.col("y") / 256)), F.lit(buckets)).cast("int")
