@@ -21,8 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 CLASSES = 1 << 20
 LEVELS = (64, 256, 1024, 4096)
 HASH = (1 << 56) - 1
-#: Rarest words of a line under which it looks for the first line of its kind.
-LEAD_WORDS = 3
+#: Words of a line under which it looks for first lines of its kind, and first lines of each kind.
+LEAD_WORDS, LEADS = 3, 6
 #: Bits of the filter before candidate lines are read again, for each of them, and at most.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 15
 
@@ -123,10 +123,14 @@ def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFram
     lines = lines_of(texts)
     levels = common_levels(lines)
     d = cut(distinct_lines(lines, levels, t, least))
-    # 1. Lines of a kind: against the first line that shares a rare word and about the length.
+    # 1. Lines of a kind: against the first lines, one in each of a few parts, that share a rare word and about the
+    #    length. Where many lines are near copies of each other this settles them without their pairs. Words that such
+    #    copies have in common are frequent for that reason, so the last words joined on serve too.
     kind = F.floor(F.ln("n") / F.lit(math.log(1 / t))).cast("int")
-    rare = d.select("key", "ord", "n", "b0", "b1", kind.alias("kind"), F.explode(F.slice("head", 1, LEAD_WORDS)).alias("word"))
-    lead = rare.groupBy("word", "kind").agg(F.min(F.struct("ord", "n", "b0", "b1", "key")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("word", "kind", "l.*")
+    rare = d.select("key", "ord", "n", "b0", "b1", kind.alias("kind"), F.explode(F.array_distinct(F.concat(F.slice("head", 1, 1), F.slice(F.reverse("head"), 1, LEAD_WORDS)))).alias("word"))
+    row, part = F.struct("ord", "n", "b0", "b1"), F.pmod("key", F.lit(LEADS))
+    firsts = F.array_compact(F.array(*[F.min(F.when(part == k, row)) for k in range(LEADS)]))
+    lead = rare.groupBy("word", "kind").agg(F.count("*").alias("c"), firsts.alias("l")).filter("c > 1").select("word", "kind", F.explode("l").alias("l")).select("word", "kind", "l.*")
     pairs = rare.alias("x").join(lead.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("y.ord") < F.col("x.ord")) & plausible(t))
     pairs = cut(pairs.select(F.col("x.key").alias("x"), F.col("x.ord").alias("xo"), F.col("y.ord").alias("yo")).distinct())
     first = cut(alike(pairs, lines, t))
