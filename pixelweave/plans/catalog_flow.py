@@ -252,16 +252,18 @@ def _t2(s, sf):
 
 
 def run_log(s, sf):
+    """Every event is a run of its user's node, started at the version of its time."""
     e = fx.table(s, sf, "events")
-    return e.select(F.col("user_id").alias("node_id"), (F.col("event_id") % 40).alias("epoch"), F.col("event_id").alias("run_id"), "value").filter("run_id % 3 <> 1")
+    return e.select(F.col("user_id").alias("node_id"), F.expr("event_id div 64").alias("epoch"), F.col("event_id").alias("run_id"), "value")
 
 
 def version_log(s, sf):
-    return fx.table(s, sf, "events").filter("event_id % 40 < 30 and event_type <> 'error'").select(F.col("user_id").alias("node_id"), (F.col("event_id") % 40).alias("epoch"))
+    """Every event names a version; one in five already names the next."""
+    return fx.table(s, sf, "events").select(F.col("user_id").alias("node_id"), F.expr("(event_id + IF(event_id % 5 = 0, 64, 0)) div 64").alias("epoch"))
 
 
-_T3 = ("SELECT r.node_id, r.epoch, r.run_id, r.value FROM (SELECT user_id AS node_id, event_id%40 AS epoch, event_id AS run_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k "
-       "FROM events WHERE event_id%3<>1) r LEFT JOIN (SELECT user_id, max(event_id%40) AS now FROM events WHERE event_id%40<30 AND event_type<>'error' GROUP BY user_id) v ON v.user_id=r.node_id "
+_T3 = ("SELECT r.node_id, r.epoch, r.run_id, r.value FROM (SELECT user_id AS node_id, event_id//64 AS epoch, event_id AS run_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k "
+       "FROM events) r LEFT JOIN (SELECT user_id, max((event_id + CASE WHEN event_id%5=0 THEN 64 ELSE 0 END)//64) AS now FROM events GROUP BY user_id) v ON v.user_id=r.node_id "
        "WHERE k=1 AND r.epoch = coalesce(now, 0)")
 query("T3_latest_run_wins", _T3)(lambda s, sf: streams.latest_run_wins(run_log(s, sf), version_log(s, sf)))
 

@@ -354,8 +354,8 @@ def layers(s, sf):
                                      F.lit(0).alias("y"), "r", "g", "b", "a")
 
 
-for _m in ("screen", "average", "over", "add", "subtract", "max"):
-    _step = (over_sql("f", "l") if _m == "over" else
+for _m in ("screen", "average", "over", "under", "add", "subtract", "max", "min", "multiply", "difference"):
+    _step = (over_sql(*(("f", "l") if _m == "over" else ("l", "f"))) if _m in ("over", "under") else
              ", ".join(f"{K.u8(_BLEND[_m].replace('p.', 'f.').replace('q.', 'l.').format(c=c))} AS {c}" for c in "rgb")
              + ", greatest(f.a, l.a) AS a")
     query(f"J3_fold_combine_{_m}", K.sql(

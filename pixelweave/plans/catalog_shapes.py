@@ -363,18 +363,18 @@ def _stl(s, sf):
     return meshio.read_ascii_stl(s, path + "/*").select(_MESHOF(), *TRI)
 
 
-@query("S18_read_saved_graph", "SELECT 'n' || p_partkey AS id, 'filter' AS type, '{\"size\":' || p_size || '}' AS config, 'n' || (p_partkey//2) AS target, 1 AS version FROM part WHERE p_partkey >= 2")
+@query("S18_read_saved_graph", "SELECT 'n' || p_partkey AS id, 'filter' AS type, '{\"size\":' || p_size || '}' AS config, CASE WHEN p_partkey >= 2 THEN 'n' || (p_partkey//2) END AS target, 1 AS version FROM part")
 def _graph(s, sf):
     """One saved graph per part brand: nodes and edges as JSON files, read back and joined."""
     path = scratch(s)
-    p = fx.table(s, sf, "part").filter("p_partkey >= 2")
+    p = fx.table(s, sf, "part")
     node = F.struct(F.concat(F.lit("n"), "p_partkey").alias("id"), F.lit("filter").alias("type"), F.struct(F.col("p_size").alias("size")).alias("config"))
     edge = F.struct(F.concat(F.lit("e"), "p_partkey").alias("id"), F.concat(F.lit("n"), "p_partkey").alias("source"), F.lit("out").alias("sourceHandle"),
                     F.concat(F.lit("n"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("target"), F.lit("in").alias("targetHandle"))
-    g = p.groupBy("p_brand").agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"))
+    g = p.groupBy("p_brand").agg(F.collect_list(node).alias("nodes"), F.collect_list(F.when(F.col("p_partkey") >= 2, edge)).alias("edges"))
     g.repartition("p_brand").write.partitionBy("p_brand").json(path)
     graphs, nodes, edges = graphio.read_saved_graph(s, path + "/*")
-    t = nodes.join(edges.select("file", F.col("source").alias("id"), "target"), ["file", "id"]).join(graphs, "file")
+    t = nodes.join(edges.select("file", F.col("source").alias("id"), "target"), ["file", "id"], "left").join(graphs, "file")
     return t.select("id", "type", "config", "target", "version")
 
 
