@@ -14,6 +14,13 @@ LEAF_ROWS = 64
 DIGIT_BITS = 8
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``; then Spark may drop the shuffle files of the round, which it does once its driver has collected garbage."""
+    out = cut(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def prefix_sums(df: DataFrame, group: str, key: Column, order: list[str], value: str, rows: int, out: str) -> DataFrame:
     """Adds ``out``: the total of ``value`` over the rows of the same ``group`` that come earlier.
 

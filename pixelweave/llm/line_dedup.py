@@ -4,7 +4,7 @@ DataFrame operations only. Lines are sets of words. With the words of every line
 order, rare ones first, two lines whose Jaccard similarity is at least t share a word among the first
 ``n - ceil(t * n) + 1`` of each, so only those words are joined on. Positions, lengths and a bitmap of the
 sets (lines that differ in d words differ in at most d bits) leave few pairs, and those
-are compared word by word.
+are compared word by word. Lines and words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -14,34 +14,45 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import cut
+from .common import settled
 
 SPACE = r"[\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are counted in so many hashed classes; the most frequent classes form levels of these sizes.
 CLASSES = 1 << 20
-LEVELS = (64, 256, 1024, 4096)
+LEVELS = (64, 512, 4096)
 HASH = (1 << 56) - 1
 #: Words of a line under which it looks for first lines of its kind, and first lines of each kind.
-LEAD_WORDS, LEADS = 3, 6
+LEAD_WORDS, LEADS = 4, 8
 #: Bits of the filter before candidate lines are read again, for each of them, and at most.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 15
 
 
 def words_of(line: Column) -> Column:
     """The distinct words of a line, A-Z lower-cased, split at ASCII white space."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.array_remove(F.split(low, SPACE), ""))
+    return F.array_distinct(F.array_remove(F.split(F.translate(line, UPPER, LOWER), SPACE), ""))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """``node_id, text_hash, line_no, line``; equal rows (one id, one text) are the same text."""
-    t = texts.select("node_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return t
+    """``node_id, line_no, no, line, h``: every line with its hash and a number for its place.
+
+    Places are ordered by ``node_id`` (null first), then line: the id, moved by the bits of a line number. Ids
+    that leave no room for those are ranked first.
+    """
+    t = texts.select("node_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    top = t.agg(F.max("line_no").alias("n"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi")).first()
+    bits, low = int(top["n"] or 0).bit_length(), top["lo"] or 0
+    rank = F.coalesce(F.col("node_id") - F.lit(low) + 1, F.lit(0)).cast("long")
+    if ((top["hi"] or 0) - low + 1).bit_length() + bits > 62:
+        ids = settled(texts.select("node_id").distinct().orderBy("node_id").select(F.col("node_id").alias("_id"), F.monotonically_increasing_id().alias("_rank")))
+        t, rank = t.join(ids, F.col("node_id").eqNullSafe(F.col("_id"))), F.col("_rank")
+    return t.select("node_id", "line_no", (F.shiftleft(rank, bits) + F.col("line_no")).alias("no"), "line", F.xxhash64("line").alias("h"))
 
 
 def common_levels(lines: DataFrame) -> list[list[int]]:
     """Hash classes of the most frequent words, counted over all lines; the lists are of fixed size."""
-    w = lines.select(F.explode(words_of(F.col("line"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).cast("int").alias("c"))
+    w = lines.select(F.explode(F.split(F.translate("line", UPPER, LOWER), SPACE)).alias("w"))
+    w = w.select(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).cast("int").alias("c"))
     top = w.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "c").limit(sum(LEVELS)).collect()
     out, at = [], 0
     for size in LEVELS:
@@ -52,28 +63,25 @@ def common_levels(lines: DataFrame) -> list[list[int]]:
 
 def ranked(words: str, levels: list[list[int]]) -> Column:
     """The words in the named column as numbers in the common order: rare before frequent, then by hash."""
-    cases = [f"WHEN pmod(h, {CLASSES}) IN ({','.join(map(str, c))}) THEN {len(levels) - n}" for n, c in enumerate(levels) if c]
-    level = f"CASE {' '.join(cases)} ELSE 0 END" if cases else "0"
-    return F.expr(f"sort_array(transform(transform({words}, w -> xxhash64(w)), h -> shiftleft(CAST({level} AS BIGINT), 56) | (h & {HASH}L)))")
+    cases = [f"WHEN pmod(h, {CLASSES}) IN ({','.join(map(str, c))}) THEN {(len(levels) - n) << 56}L" for n, c in enumerate(levels) if c]
+    level = f"CASE {' '.join(cases)} ELSE 0L END" if cases else "0L"
+    return F.expr(f"sort_array(transform(transform({words}, w -> xxhash64(w)), h -> ({level}) | (h & {HASH}L)))")
 
 
-def bitmap(numbers: Column, half: int) -> Column:
+def bitmap(numbers: str, half: int) -> Column:
     """64 bits; every word flips one of 128, the halves' bits together."""
-    def flip(a: Column, x: Column) -> Column:
-        mine = x.bitwiseAND(F.lit(64)) == (64 if half else 0)
-        return F.when(mine, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(a)
-
-    return F.aggregate(numbers, F.lit(0).cast("long"), flip)
+    mine = "<> 0" if half else "= 0"
+    return F.expr(f"aggregate({numbers}, 0L, (a, x) -> IF((x & 64L) {mine}, a ^ shiftleft(1L, CAST(x & 63L AS INT)), a))")
 
 
 def distinct_lines(lines: DataFrame, levels: list[list[int]], t: float, least: int) -> DataFrame:
-    """One row for each word set of at least ``least`` words: ``key`` (its hash), ``ord`` (its first line), ``n``, ``head`` (the words joined on), ``b0``, ``b1``."""
-    w = lines.select(F.struct("node_id", "text_hash", "line_no").alias("ord"), words_of(F.col("line")).alias("_s")).withColumn("_w", ranked("_s", levels))
-    w = w.withColumn("n", F.size("_w")).filter(F.col("n") >= least)
-    head = F.slice("_w", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1).cast("int"))
-    # equal sets have equal heads and bitmaps, so the smallest struct is the first line's
-    row = F.struct("ord", F.col("n").alias("n"), head.alias("head"), bitmap(F.col("_w"), 0).alias("b0"), bitmap(F.col("_w"), 1).alias("b1"))
-    return w.groupBy(F.xxhash64("_w").alias("key")).agg(F.min(row).alias("r")).select("key", "r.*")
+    """One row for each different line of at least ``least`` words: ``h``, ``no`` (its first place), ``n``, ``head`` (the words joined on), ``b0``, ``b1``."""
+    w = lines.select("h", "no", words_of(F.col("line")).alias("_s")).filter(F.size("_s") >= least).withColumn("_w", ranked("_s", levels))
+    n = F.size("_w")
+    head = F.slice("_w", F.lit(1), (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int"))
+    # equal lines have equal heads and bitmaps, so the smallest struct is the first line's
+    row = F.struct("no", n.alias("n"), head.alias("head"), bitmap("_w", 0).alias("b0"), bitmap("_w", 1).alias("b1"))
+    return w.groupBy("h").agg(F.min(row).alias("r")).select("h", "r.*")
 
 
 def need(a: Column, b: Column, t: float) -> Column:
@@ -82,39 +90,37 @@ def need(a: Column, b: Column, t: float) -> Column:
 
 
 def plausible(t: float) -> Column:
-    """Length and bitmap filters for x and y."""
+    """Order, length and bitmap filters for x and an earlier y. ``lim`` is x's place, or below all places if x needs no partner."""
     nx, ny = F.col("x.n"), F.col("y.n")
     bits = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
-    return (ny >= nx * F.lit(t) - 1e-9) & (nx >= ny * F.lit(t) - 1e-9) & (bits <= nx + ny - 2 * need(nx, ny, t))
+    before = (F.col("y.no") < F.col("x.lim")) | ((F.col("y.no") == F.col("x.lim")) & (F.col("y.h") < F.col("x.h")))
+    return before & (ny >= nx * F.lit(t) - 1e-9) & (nx >= ny * F.lit(t) - 1e-9) & (bits <= nx + ny - 2 * need(nx, ny, t))
 
 
 def alike(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """Keys x of ``pairs(x, xo, yo)`` whose lines at ``xo`` and ``yo`` reach the similarity, by their words.
+    """Hashes ``h`` of the lines x of ``pairs(x, y)`` that reach the similarity, by their words.
 
     Only the lines named are read again: a bit filter of bounded size, made of the pairs, thins the scan
     before the join; what it lets through wrongly the join drops.
     """
-    want = pairs.select(F.explode(F.array("xo", "yo")).alias("o")).select("o.*").distinct()
-    h = F.xxhash64("node_id", "text_hash", "line_no")
+    want = settled(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct())
     n = want.count()
     size = max(64, min(FILTER_WORDS * 64, 1 << (max(1, n) * FILTER_BITS - 1).bit_length()))
-    slot = F.pmod(h, F.lit(size))
+    slot = F.pmod("h", F.lit(size))
     bits = want.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("m"))
     table = {r["w"]: r["m"] for r in bits.collect()}
-    words = [table.get(w, 0) for w in range(size // 64)]
-    spark = lines.sparkSession
-    thin = lines.withColumn("_s", slot)
     # the filter is one row of at most FILTER_WORDS numbers
-    row = spark.createDataFrame([(words,)], "m array<long>")
-    thin = thin.filter(F.call_function("getbit", F.call_function("get", row.scalar(), F.shiftright("_s", 6).cast("int")), F.col("_s").bitwiseAND(F.lit(63)).cast("int")) == 1)
-    got = thin.select(F.struct("node_id", "text_hash", "line_no").alias("o"), words_of(F.col("line")).alias("w")).join(want.select(F.struct("node_id", "text_hash", "line_no").alias("_o")), F.col("o").eqNullSafe(F.col("_o"))).drop("_o").dropDuplicates(["o"])
-    p = pairs.join(got.select(F.col("o").alias("_x"), F.col("w").alias("wx")), F.col("xo").eqNullSafe(F.col("_x"))).join(got.select(F.col("o").alias("_y"), F.col("w").alias("wy")), F.col("yo").eqNullSafe(F.col("_y")))
+    row = lines.sparkSession.createDataFrame([([table.get(w, 0) for w in range(size // 64)],)], "m array<long>")
+    word = F.call_function("get", row.scalar(), F.shiftright("_s", 6).cast("int"))
+    thin = lines.select("h", "line", slot.alias("_s")).filter(F.call_function("getbit", word, F.col("_s").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    got = settled(thin.select("h", "line").join(want, "h").dropDuplicates(["h"]).select("h", words_of(F.col("line")).alias("w")))
+    p = pairs.join(got.select(F.col("h").alias("x"), F.col("w").alias("wx")), "x").join(got.select(F.col("h").alias("y"), F.col("w").alias("wy")), "y")
     common = F.size(F.array_intersect("wx", "wy"))
-    return p.filter(common >= need(F.size("wx"), F.size("wy"), t)).select("x").distinct()
+    return p.filter(common >= need(F.size("wx"), F.size("wy"), t)).select(F.col("x").alias("h")).distinct()
 
 
 def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFrame:
-    """``node_id, text_hash, line_no`` of every line that an earlier line matches.
+    """``node_id, line_no, h`` of every line that an earlier line matches; ``h`` is the line's hash.
 
     A line is matched by an earlier one (smaller ``node_id``, then line number) if the Jaccard
     similarity of their word sets is at least ``t``. Whether the earlier line is itself removed does not
@@ -122,47 +128,45 @@ def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFram
     """
     lines = lines_of(texts)
     levels = common_levels(lines)
-    d = cut(distinct_lines(lines, levels, t, least))
-    # 1. Lines of a kind: against the first lines, one in each of a few parts, that share a rare word and about the
+    d = settled(distinct_lines(lines, levels, t, least))
+    # 1. Lines of a kind: against the first lines, one in each of a few parts, that share a word and about the
     #    length. Where many lines are near copies of each other this settles them without their pairs. Words that such
     #    copies have in common are frequent for that reason, so the last words joined on serve too.
-    kind = F.floor(F.ln("n") / F.lit(math.log(1 / t))).cast("int")
-    rare = d.select("key", "ord", "n", "b0", "b1", kind.alias("kind"), F.explode(F.array_distinct(F.concat(F.slice("head", 1, 1), F.slice(F.reverse("head"), 1, LEAD_WORDS)))).alias("word"))
-    row, part = F.struct("ord", "n", "b0", "b1"), F.pmod("key", F.lit(LEADS))
+    kind = F.floor(F.ln("n") / F.lit(math.log(1 / t)))
+    some = F.array_distinct(F.concat(F.slice("head", 1, 1), F.slice(F.reverse("head"), 1, LEAD_WORDS)))
+    rare = d.select("h", "no", "n", "b0", "b1", kind.alias("kind"), F.explode(some).alias("word")).withColumn("word", F.xxhash64("word", "kind")).drop("kind")
+    row, part = F.struct("no", "n", "b0", "b1", "h"), F.pmod("h", F.lit(LEADS))
     firsts = F.array_compact(F.array(*[F.min(F.when(part == k, row)) for k in range(LEADS)]))
-    lead = rare.groupBy("word", "kind").agg(F.count("*").alias("c"), firsts.alias("l")).filter("c > 1").select("word", "kind", F.explode("l").alias("l")).select("word", "kind", "l.*")
-    pairs = rare.alias("x").join(lead.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("y.ord") < F.col("x.ord")) & plausible(t))
-    pairs = cut(pairs.select(F.col("x.key").alias("x"), F.col("x.ord").alias("xo"), F.col("y.ord").alias("yo")).distinct())
-    first = cut(alike(pairs, lines, t))
-    # 2. All others against every earlier line that shares one of the words joined on.
-    left = d.join(first.withColumnRenamed("x", "key"), "key", "left_anti")
-    cols = ["key", "ord", "n", "b0", "b1", F.posexplode("head").alias("at", "word")]
-    x, y = left.select(*cols).alias("x"), d.select(*cols).alias("y")
+    lead = rare.groupBy("word").agg(F.count("*").alias("c"), firsts.alias("l")).filter("c > 1").select("word", F.explode("l").alias("l")).select("word", "l.*")
+    pairs = rare.withColumn("lim", F.col("no")).alias("x").join(lead.alias("y"), (F.col("x.word") == F.col("y.word")) & plausible(t))
+    first = settled(alike(settled(pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()), lines, t))
+    # 2. All others against every earlier line that shares one of the words joined on. Both sides are the same rows,
+    #    shuffled once: a settled line takes part with no place that anything could precede.
+    rows = d.join(first.withColumn("done", F.lit(True)), "h", "left").withColumn("lim", F.when(F.col("done"), F.lit(-1)).otherwise(F.col("no")))
+    rows = rows.select("h", "no", "lim", "n", "b0", "b1", F.posexplode("head").alias("at", "word"))
     nx, ny = F.col("x.n"), F.col("y.n")
-    reach = F.least("x.at", "y.at") + 1 + F.least(nx - F.col("x.at"), ny - F.col("y.at")) - 1
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("y.ord") < F.col("x.ord")) & plausible(t) & (reach >= need(nx, ny, t)))
-    pairs = cut(pairs.select(F.col("x.key").alias("x"), F.col("x.ord").alias("xo"), F.col("y.ord").alias("yo")).distinct())
-    gone = first.union(alike(pairs, lines, t)).distinct()
-    # 3. Every line but the first of its set, and all lines of the sets that are gone.
-    sets = d.select("key", "ord").join(gone.select(F.col("x").alias("key"), F.lit(True).alias("gone")), "key", "left")
-    w = lines.withColumn("_s", words_of(F.col("line"))).withColumn("_w", ranked("_s", levels)).filter(F.size("_w") >= least)
-    w = w.select("node_id", "text_hash", "line_no", F.xxhash64("_w").alias("key")).join(sets, "key")
-    own = F.struct("node_id", "text_hash", "line_no")
-    return w.filter(F.col("gone").isNotNull() | (own != F.col("ord"))).select("node_id", "text_hash", "line_no")
+    reach = F.least("x.at", "y.at") + F.least(nx - F.col("x.at"), ny - F.col("y.at"))
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.word") == F.col("y.word")) & plausible(t) & (reach >= need(nx, ny, t)))
+    gone = first.union(alike(settled(pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()), lines, t)).distinct()
+    # 3. Every line but the first of its text, and all lines that are gone.
+    sets = d.select("h", F.col("no").alias("_first")).join(gone.withColumn("gone", F.lit(True)), "h", "left")
+    w = lines.select("node_id", "line_no", "no", "h").join(sets, "h")
+    return w.filter(F.col("gone").isNotNull() | (F.col("no") != F.col("_first"))).select("node_id", "line_no", "h")
 
 
 def dedup_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFrame:
     """``texts(node_id, text, ...)`` without the lines that an earlier line matches; see ``repeated_lines``.
 
-    All columns stay; ``text`` loses the lines, and ``lines_removed`` (replaced, if there is one) counts them. Null
-    and empty texts are kept as they are, as is a text that loses all its lines (empty then). Null ids come first in
-    the order; texts that share an id are ordered by a hash of the text; equal rows (one id, one text) are
-    one text and lose the same lines; an empty table stays empty.
+    All columns stay; ``text`` loses the lines, and ``lines_removed`` (replaced, if there is one) counts them. ``node_id``
+    is a long. Null and empty texts are kept as they are, as is a text that loses all its lines (empty then). Null ids come
+    first in the order; lines of texts that share an id and have the same number are at one place: equal ones stay together, of
+    similar ones the smaller hash counts as earlier. An empty table stays empty.
     """
     t0 = texts.drop("lines_removed")
-    gone = repeated_lines(texts, t, least).groupBy("node_id", "text_hash").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.select(F.col("node_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
-    j = t0.join(gone, F.col("node_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    cols = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in t0.columns]
-    return j.select(*cols, F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"))
+    gone = repeated_lines(texts, t, least).groupBy("node_id").agg(F.collect_set(F.struct("line_no", "h")).alias("_gone")).withColumnRenamed("node_id", "_id")
+    j = t0.join(gone, F.col("node_id").eqNullSafe(F.col("_id")), "left")
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(line).alias("h"))))
+    j = j.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept))
+    cols = [F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text") if c == "text" else F.col(c) for c in t0.columns]
+    return j.select(*cols, F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).alias("lines_removed"))
