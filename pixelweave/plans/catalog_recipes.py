@@ -71,12 +71,21 @@ _DOTS = ("vw AS (SELECT image_id, frame, w, h, x, y, v AS r, v AS g, v AS b, 255
          + K.u8(f"255e0+(-255e0)*{K.clamp01(f'{_DD}/({_U}*0.45e0)')}") + " AS v FROM gr UNION ALL SELECT image_id, 1, w, h, x, y, "
          + K.u8(f"255e0*({_EDGE(0.56)}*(1e0-{_EDGE(0.82)}))") + " FROM gr))")
 _DOTZ = "vz AS (SELECT image_id, w AS w0, h AS h0, 2 AS n, w AS wm FROM im)"
-query("Z11_two_frame_flip", K.sql(f"SELECT {K.OUTS} FROM sm", K.IMGS, K.GRID, _DOTS, _DOTZ, _NEED, sheet_sql(_FLIP), strips_sql("w0", "h0"), _SMP))(
-    lambda s, sf: rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[0].select(*OUTS))
+# millions of pixels: each sheet is summed up with a weight for every place
+_SUMS = lambda *cs: ", ".join(f"sum(CAST({c} AS BIGINT)*(x*31+y*17+1))::BIGINT AS {c}" for c in cs)
+
+
+def summed(t, *cs):
+    place = F.col("x") * 31 + F.col("y") * 17 + 1
+    return t.groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long") * place).alias(c) for c in cs])
+
+
+query("Z11_two_frame_flip", K.sql(f"SELECT image_id, count(*) AS n, {_SUMS(*'rgba')} FROM sm GROUP BY image_id", K.IMGS, K.GRID, _DOTS, _DOTZ, _NEED, sheet_sql(_FLIP), strips_sql("w0", "h0"), _SMP))(
+    lambda s, sf: summed(rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[0], *"rgba"))
 query("Z11_flip_relief", K.sql(
-    f"SELECT image_id, x, y, {_height_sql(_FLIP, 'o')} AS height FROM (SELECT *, abs((uu/pt+0.3e0-floor(uu/pt+0.3e0)-0.5e0)*pt) AS o FROM sh)", K.IMGS, _DOTZ,
+    f"SELECT image_id, count(*) AS n, {_SUMS('height')} FROM (SELECT image_id, x, y, {_height_sql(_FLIP, 'o')} AS height FROM (SELECT *, abs((uu/pt+0.3e0-floor(uu/pt+0.3e0)-0.5e0)*pt) AS o FROM sh)) GROUP BY image_id", K.IMGS, _DOTZ,
     f"sz AS (SELECT image_id, w0, h0, n, {_CAP} AS w, greatest(1, {K.jsr(f'{_CAP}*h0/w0::DOUBLE')}) AS h FROM vz)", sheet_sql(_FLIP)))(
-    lambda s, sf: rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[1].select("image_id", "x", "y", "height"))
+    lambda s, sf: summed(rc.two_frame_flip(fx.img_part(s, sf), _FLIP)[1], "height"))
 _MV = dict(cone_deg=30.0, distance=300.0, depth_mm=1.0, width_mm=60.0, height_mm=40.0, rotation=_ROT, width_px=18)
 query("Z12_mesh_grid_sheet")(lambda s, sf: rc.mesh_grid_sheet(tris(s, sf), LENS, 2, **_MV).select(*OUTS))
 query("Z13_mesh_strip_sheet")(lambda s, sf: rc.mesh_strip_sheet(tris(s, sf), _FLIP, 3, **_MV).select(*OUTS))
