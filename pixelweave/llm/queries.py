@@ -120,3 +120,48 @@ def op10_url_filter(spark, sf):
     p = table(spark, sf, "pages").select(F.col("page_id").alias("node_id"), "url")
     r = url_filter.filter_links(p, [url_filter.site_rule(v, n) for v, n in SITE_RULES])
     return r.select(F.col("node_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def _fits(rule: str) -> str:
+    host, path = rule.split("/", 1)
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
+
+
+_BY_LENGTH = sorted(SITE_RULES, key=lambda r: -len(r[1]))
+_BLOCKED = "|".join(r.name.removeprefix("**.") for r in url_filter.FILE_RULES)
+_CHARS = rf"(length({{0}}) + length({{0}}) - length(replace({{0}}, '\', '')) + len(regexp_extract_all({{0}}, '<\||</?s>|\[/?INST\]')))"
+_MARKS = len(chat.START + chat.SEP + chat.END)
+
+#: DuckDB twins of the queries that SQL can say. The others need a tokenizer, XXH64, a trained model or positions of matches, or are approximate.
+ORACLES = {
+    "op1_line_dedup": (
+        "WITH li AS MATERIALIZED (SELECT doc_id, line, pos, doc_id * 1048576 + pos AS no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, "
+        "generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)), "
+        "dl AS MATERIALIZED (SELECT line, no, s, len(s) AS n FROM (SELECT line, min(no) AS no, "
+        rf"list_distinct(regexp_extract_all(translate(line, '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[^\x20\x09-\x0D]+')) AS s FROM li GROUP BY line) WHERE len(s) >= 5), "
+        "tk AS MATERIALIZED (SELECT no, n, unnest(s) AS w FROM dl), df AS MATERIALIZED (SELECT w, count(*) AS c FROM tk GROUP BY w), "
+        "pre AS MATERIALIZED (SELECT no, n, w FROM (SELECT no, n, w, row_number() OVER (PARTITION BY no ORDER BY c, w) AS k FROM tk JOIN df USING (w)) WHERE k <= n - (4 * n + 4) // 5 + 1), "
+        "ca AS MATERIALIZED (SELECT DISTINCT a.no AS x, b.no AS y FROM pre a JOIN pre b ON a.w = b.w AND b.no < a.no AND 5 * b.n >= 4 * a.n AND 5 * a.n >= 4 * b.n), "
+        "go AS (SELECT DISTINCT x FROM ca JOIN dl a ON a.no = x JOIN dl b ON b.no = y WHERE 9 * len(list_intersect(a.s, b.s)) >= 4 * (a.n + b.n)), "
+        "ma AS (SELECT li.doc_id, pos, li.line, d.no IS NOT NULL AND (d.no <> li.no OR x IS NOT NULL) AS out FROM li LEFT JOIN dl d ON d.line = li.line LEFT JOIN go ON x = d.no), "
+        "ag AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT out), '') AS text, (count(*) FILTER (out))::INTEGER AS lines_removed FROM ma GROUP BY doc_id) "
+        "SELECT doc_id, ag.text, coalesce(lines_removed, 0) AS lines_removed FROM documents LEFT JOIN ag USING (doc_id)"),
+    "op3_chat_format": (
+        "WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations "
+        "UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')), "
+        "g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS t, "
+        "coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS l, "
+        f"sum({_MARKS} + {_CHARS.format('role')} + {_CHARS.format('text')})::BIGINT AS formatted_chars FROM c GROUP BY conv_id) "
+        "SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM g"),
+    "op9_exact_topk": (
+        "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS l FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) "
+        "SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM "
+        "(SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.l, c.l)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"),
+    "op10_url_filter": (
+        f"WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, "
+        "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), "
+        "r AS (SELECT *, CASE " + " ".join(f"WHEN {_fits(n)} THEN '{n}'" for _, n in _BY_LENGTH) + " END AS rule FROM u) "
+        "SELECT page_id, host, path, rule, CASE rule " + " ".join(f"WHEN '{n}' THEN '{v}'" for v, n in SITE_RULES)
+        + f" ELSE CASE WHEN host = '' OR regexp_matches(path, '\\.({_BLOCKED})$') THEN 'block' ELSE 'allow' END END AS verdict FROM r"),
+}
