@@ -94,6 +94,8 @@ def plausible(t: float) -> Column:
     nx, ny = F.col("x.n"), F.col("y.n")
     bits = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
     before = (F.col("y.no") < F.col("x.lim")) | ((F.col("y.no") == F.col("x.lim")) & (F.col("y.h") < F.col("x.h")))
+    # follows from it, and makes both sides need the same columns, so that one shuffle serves both
+    before = before & (F.col("y.lim") <= F.col("x.no"))
     return before & (ny >= nx * F.lit(t) - 1e-9) & (nx >= ny * F.lit(t) - 1e-9) & (bits <= nx + ny - 2 * need(nx, ny, t))
 
 
@@ -137,7 +139,7 @@ def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFram
     rare = d.select("h", "no", "n", "b0", "b1", kind.alias("kind"), F.explode(some).alias("word")).withColumn("word", F.xxhash64("word", "kind")).drop("kind")
     row, part = F.struct("no", "n", "b0", "b1", "h"), F.pmod("h", F.lit(LEADS))
     firsts = F.array_compact(F.array(*[F.min(F.when(part == k, row)) for k in range(LEADS)]))
-    lead = rare.groupBy("word").agg(F.count("*").alias("c"), firsts.alias("l")).filter("c > 1").select("word", F.explode("l").alias("l")).select("word", "l.*")
+    lead = rare.groupBy("word").agg(F.count("*").alias("c"), firsts.alias("l")).filter("c > 1").select("word", F.explode("l").alias("l")).select("word", "l.*").withColumn("lim", F.col("no"))
     pairs = rare.withColumn("lim", F.col("no")).alias("x").join(lead.alias("y"), (F.col("x.word") == F.col("y.word")) & plausible(t))
     first = settled(alike(settled(pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()), lines, t))
     # 2. All others against every earlier line that shares one of the words joined on. Both sides are the same rows,
