@@ -145,7 +145,8 @@ def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFram
     # 2. All others against every earlier line that shares one of the words joined on. Both sides are the same rows,
     #    shuffled once: a settled line takes part with no place that anything could precede.
     rows = d.join(first.withColumn("done", F.lit(True)), "h", "left").withColumn("lim", F.when(F.col("done"), F.lit(-1)).otherwise(F.col("no")))
-    rows = rows.select("h", "no", "lim", "n", "b0", "b1", F.posexplode("head").alias("at", "word"))
+    # without nulls neither side gets a filter of its own
+    rows = rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("h", "no", "lim", "n", "b0", "b1")], F.posexplode("head").alias("at", "word"))
     nx, ny = F.col("x.n"), F.col("y.n")
     reach = F.least("x.at", "y.at") + F.least(nx - F.col("x.at"), ny - F.col("y.at"))
     pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.word") == F.col("y.word")) & plausible(t) & (reach >= need(nx, ny, t)))
