@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import line_dedup, mixing, packing, queries, simhash, toxicity
-from pixelweave.schema import ensure_checkpoint_dir
+from pixelweave.llm import line_dedup, mixing, near_copies, packing, queries, simhash, toxicity
+from pixelweave.schema import cut, ensure_checkpoint_dir
 
 
 def as_texts(docs: DataFrame) -> DataFrame:
@@ -41,6 +41,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.union(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What ``drop_near_copies`` keeps, and of each group of texts that share four fifths of their five-word shingles the smallest id."""
+    left = cut(drop_near_copies(spark, docs, sf_dir))
+    gone = near_copies.near_copies(as_texts(left), width=5, t=0.8).select(F.col("node_id").alias("doc_id"))
+    kept = left.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.union(left.filter(F.col("doc_id").isNull()).select(*docs.columns))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it whole, and the beginning that it takes of the last one of a source."""
     taken = mixing.mix_sources(as_texts(docs)).groupBy("node_id").agg(F.sum("taken").alias("taken"))
@@ -60,7 +68,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_texts(as_texts(docs), **queries.public_tokenizer()).withColumnRenamed("node_id", "doc_id")
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash", drop_near_copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash", drop_similar), ("mixing", mix), ("packing", pack)]
 
 #: SQL has no tokenizer and no trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -3,12 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from test_texts import brute_lines, plain_print, words
 
 import corpus_pipeline as cp
 from __spark_entry__ import queries
-from pixelweave.llm import mixing, queries as q
+from pixelweave.llm import mixing, near_copies, queries as q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -105,3 +106,55 @@ def test_stages_on_odd_rows(spark, folder, stage):
 def test_every_operator_has_a_query():
     names = set(q.QUERIES)
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and names | {"pipeline"} <= set(queries())
+
+
+def shingles(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} or {tuple(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def similar_rows():
+    """Copies with words replaced, on both sides of a similarity of 0.8; groups, short and wordless texts."""
+    rng, rows = random.Random(5), []
+    for k in range(40):
+        base = words(rng.choice([70, 150, 400]), 1000 + k, 9000)
+        for _ in range(6 if k else 30):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 6, 9])):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(w), "en", "s", 0))
+    return rows + [(len(rows) + k, t, "en", "s", 0) for k, t in enumerate([None, "", "a b", "A  b", "a c", rows[7][1]])] + [(None, rows[0][1], "en", "s", 0)] * 2
+
+
+def test_similar_texts_against_brute_force(spark, monkeypatch):
+    rows = similar_rows()
+    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    root = {i: i for i in sets}
+    near = [(i, j) for i in sets for j in sets if j < i and jaccard(sets[i], sets[j]) >= 0.8]
+    for _ in range(8):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    want = {(i, r) for i, r in root.items() if i != r}
+    df = spark.createDataFrame(rows, DOCS)
+    for block in (near_copies.BLOCK_ROWS, 4):
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
+        assert {tuple(r) for r in near_copies.near_copies(cp.as_texts(df)).collect()} == want and len(want) > 80
+    kept = [r.doc_id for r in dict(cp.STAGES)["simhash"](spark, df, "").collect()]
+    assert not [1 for i in kept for j in kept if None not in (i, j) and j < i and (i, j) in set(near)] and kept.count(None) == 2
+
+
+def test_block_links():
+    sets = [near_copies.shingle_set(r[1], 5) for r in similar_rows()[:60]]
+    node = np.random.default_rng(1).permutation(1000)[:60]
+    root = {i: i for i in node.tolist()}
+    for _ in sets:
+        for i, a in zip(node.tolist(), sets):
+            for j, b in zip(node.tolist(), sets):
+                if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                    root[i] = min(root[i], root[j])
+    a, b = near_copies.block_links(sets, node, 0.8)
+    assert dict(zip(a.tolist(), b.tolist())) == {i: r for i, r in root.items() if i != r}
