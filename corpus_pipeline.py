@@ -50,10 +50,18 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it whole, and the beginning that it takes of the last one of a source."""
-    taken = mixing.mix_sources(as_texts(docs)).groupBy("node_id").agg(F.sum("taken").alias("taken"))
-    one = docs.dropDuplicates(["doc_id"])
-    t = one.join(taken, F.col("doc_id").eqNullSafe(F.col("node_id"))).withColumn("_size", mixing.word_count(F.col("text"))).filter("taken > 0 and _size > 0")
+    """Every document as often as the mix takes it whole, and the beginning that it takes of the last one of a source.
+
+    Rows without an id are documents of their own, known by a row number that is written with them.
+    """
+    none = cut(docs.filter(F.col("doc_id").isNull()).withColumn("_row", F.monotonically_increasing_id()))
+    some = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", F.lit(None).cast("long"))
+    key = F.struct("node_id", "_row")  # hashes like the id alone where there is one
+    taken = mixing.mix_sources(as_texts(some.union(none)).withColumn("node_id", key)).groupBy("node_id").agg(F.sum("taken").alias("taken"))
+    taken = taken.select(F.col("node_id.node_id").alias("_id"), F.col("node_id._row").alias("_no"), "taken")
+    one = some.dropDuplicates(["doc_id"]).union(none)
+    t = one.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_row").eqNullSafe(F.col("_no")))
+    t = t.withColumn("_size", mixing.word_count(F.col("text"))).filter("taken > 0 and _size > 0")
     rest = F.col("taken") % F.col("_size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("_size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     t = t.withColumn("_words", F.explode(copies))

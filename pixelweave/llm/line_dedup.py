@@ -34,19 +34,19 @@ def words_of(line: Column) -> Column:
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """``node_id, line_no, no, line, h``: every line with its hash and a number for its place.
+    """``node_id, t, line_no, no, line, h``: every line with its text's hash, its own and a number for its place.
 
     Places are ordered by ``node_id`` (null first), then line: the id, moved by the bits of a line number. Ids
     that leave no room for those are ranked first.
     """
-    t = texts.select("node_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    t = texts.select("node_id", "text", F.xxhash64("text").alias("t")).select("node_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     top = t.agg(F.max("line_no").alias("n"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi")).first()
     bits, low = int(top["n"] or 0).bit_length(), top["lo"] or 0
     rank = F.coalesce(F.col("node_id") - F.lit(low) + 1, F.lit(0)).cast("long")
     if ((top["hi"] or 0) - low + 1).bit_length() + bits > 62:
         ids = settled(texts.select("node_id").distinct().orderBy("node_id").select(F.col("node_id").alias("_id"), F.monotonically_increasing_id().alias("_rank")))
         t, rank = t.join(ids, F.col("node_id").eqNullSafe(F.col("_id"))), F.col("_rank")
-    return t.select("node_id", "line_no", (F.shiftleft(rank, bits) + F.col("line_no")).alias("no"), "line", F.xxhash64("line").alias("h"))
+    return t.select("node_id", "t", "line_no", (F.shiftleft(rank, bits) + F.col("line_no")).alias("no"), "line", F.xxhash64("line").alias("h"))
 
 
 def common_levels(lines: DataFrame) -> list[list[int]]:
@@ -122,7 +122,7 @@ def alike(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
 
 
 def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFrame:
-    """``node_id, line_no, h`` of every line that an earlier line matches; ``h`` is the line's hash.
+    """``node_id, t, line_no`` of every line that an earlier line matches; ``t`` is the hash of its text.
 
     A line is matched by an earlier one (smaller ``node_id``, then line number) if the Jaccard
     similarity of their word sets is at least ``t``. Whether the earlier line is itself removed does not
@@ -153,8 +153,8 @@ def repeated_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFram
     gone = first.union(alike(settled(pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()), lines, t)).distinct()
     # 3. Every line but the first of its text, and all lines that are gone.
     sets = d.select("h", F.col("no").alias("_first")).join(gone.withColumn("gone", F.lit(True)), "h", "left")
-    w = lines.select("node_id", "line_no", "no", "h").join(sets, "h")
-    return w.filter(F.col("gone").isNotNull() | (F.col("no") != F.col("_first"))).select("node_id", "line_no", "h")
+    w = lines.select("node_id", "t", "line_no", "no", "h").join(sets, "h")
+    return w.filter(F.col("gone").isNotNull() | (F.col("no") != F.col("_first"))).select("node_id", "t", "line_no")
 
 
 def dedup_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFrame:
@@ -166,10 +166,11 @@ def dedup_lines(texts: DataFrame, t: float = 0.8, least: int = 5) -> DataFrame:
     similar ones the smaller hash counts as earlier. An empty table stays empty.
     """
     t0 = texts.drop("lines_removed")
-    gone = repeated_lines(texts, t, least).groupBy("node_id").agg(F.collect_set(F.struct("line_no", "h")).alias("_gone")).withColumnRenamed("node_id", "_id")
-    j = t0.join(gone, F.col("node_id").eqNullSafe(F.col("_id")), "left")
+    # by id and text: all rows without an id do not meet in one
+    gone = repeated_lines(texts, t, least).groupBy("node_id", "t").agg(F.collect_set("line_no").alias("_gone")).withColumnsRenamed({"node_id": "_id", "t": "_t"})
+    j = t0.join(gone, F.col("node_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(line).alias("h"))))
+    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
     j = j.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept))
     cols = [F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text") if c == "text" else F.col(c) for c in t0.columns]
     return j.select(*cols, F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).alias("lines_removed"))

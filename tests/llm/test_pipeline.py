@@ -9,7 +9,7 @@ from test_texts import brute_lines, plain_print, words
 
 import corpus_pipeline as cp
 from __spark_entry__ import queries
-from pixelweave.llm import mixing, near_copies, queries as q
+from pixelweave.llm import line_dedup, mixing, near_copies, queries as q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -158,3 +158,29 @@ def test_block_links():
                     root[i] = min(root[i], root[j])
     a, b = near_copies.block_links(sets, node, 0.8)
     assert dict(zip(a.tolist(), b.tolist())) == {i: r for i, r in root.items() if i != r}
+
+
+def test_mix_takes_all_documents_without_an_id(spark):
+    rows = [(None, " ".join(words(20 + k, k, 5000)), "en", f"s{k % 2}", k) for k in range(40)] + [(k, " ".join(words(30, 100 + k, 5000)), "en", "s0", k) for k in range(10)]
+    rows += rows[:1] * 4 + [(None, None, "en", "s0", 0), (None, " ", "en", "s1", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    whole = {r[1]: sum(x[1] == r[1] for x in rows) for r in rows if (r[1] or "").strip()}
+    texts = [r.text for r in cp.mix(spark, df, "").collect()]
+    sizes, taken = {"s0": 0, "s1": 0}, len(" ".join(texts).split())
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").split())
+    assert all(whole[t] <= texts.count(t) <= 2 * whole[t] for t in whole)
+    assert all(any(w.startswith(t) for w in whole) for t in texts)
+    assert abs(taken - 1.5 * sum(sizes.values())) <= 2
+
+
+def test_lines_of_documents_without_an_id(spark):
+    """Each text loses its own lines, and what they lose is no one row of all texts."""
+    a, b = (" ".join(words(9, 50 + k, 5000)) for k in range(2))
+    rows = [(None, None, f"own {k}\n{a if k % 2 else b}\n{b}" + f"\nlast {k}", None) for k in range(12)]
+    df = spark.createDataFrame(rows, "node_id long, node_type string, text string, score string")
+    gone = line_dedup.repeated_lines(df).groupBy("node_id", "t").count().collect()
+    assert len(gone) == 12  # one row a text
+    out = sorted((r.text, r.lines_removed) for r in line_dedup.dedup_lines(df).collect())
+    want = [(f"own {k}\n{a if k % 2 else b}\nlast {k}", 1) for k in range(12)]
+    assert out == sorted(want)
