@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, neighbours, packing, secrets, simhash, topk, toxicity, url_filter
+from . import audit, chat, infill, line_dedup, mixing, neighbours, packing, secrets, sharding, simhash, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -124,6 +124,25 @@ def op10_url_filter(spark, sf):
     return r.select(F.col("node_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+@query
+def op11_filter_audit(spark, sf):
+    t = texts(spark, sf).withColumn("node_type", F.coalesce("node_type", F.lit("")))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("node_id"), "quality", "toxic")
+    return audit.audit_filters(t, labels).withColumnRenamed("node_type", "part")
+
+
+@query
+def op12_sharding(spark, sf):
+    r = sharding.assign_shards(texts(spark, sf), 24)
+    return r.select(F.col("node_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_fill_in_middle(spark, sf):
+    r = infill.restore(infill.fill_in_middle(texts(spark, sf)))
+    return r.select(F.col("node_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
 def _fits(rule: str) -> str:
     host, path = rule.split("/", 1)
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
@@ -134,6 +153,22 @@ _BLOCKED = "|".join(r.name.removeprefix("**.") for r in url_filter.FILE_RULES)
 _CHARS = rf"(length({{0}}) + length({{0}}) - length(replace({{0}}, '\', '')) + len(regexp_extract_all({{0}}, '<\||</?s>|\[/?INST\]')))"
 _MARKS = len(chat.START + chat.SEP + chat.END)
 
+_BITS = ("CASE WHEN w < 200 THEN 1 ELSE 0 END + CASE WHEN 100*dw < 50*w THEN 2 ELSE 0 END + CASE WHEN 100*cap > 2*n THEN 4 ELSE 0 END "
+         "+ CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first < doc_id THEN 16 ELSE 0 END")
+_KEYS = sharding.round_keys(1)
+
+
+def _scramble(x: str) -> str:
+    """``sharding.scramble`` of an unsigned 64-bit number."""
+    step = lambda by, m: f"(xor(s, s >> {by}) * {m}::UBIGINT) & {sharding.WORD}::UBIGINT"
+    e = f"list_transform([{x}], lambda s: {step(16, sharding.MIX[0])})"
+    e = f"list_transform({e}, lambda s: {step(13, sharding.MIX[1])})"
+    return f"list_transform({e}, lambda s: xor(s, s >> 16))[1]"
+
+
+_PASS = "list_reduce([{l: v >> h, r: v & m}, " + ", ".join(f"{{l: {k}::UBIGINT, r: 0::UBIGINT}}" for k in _KEYS) + "], lambda a, k: {l: a.r, r: xor(a.l, " + _scramble(
+    f"(a.r + k.l) & {sharding.WORD}::UBIGINT") + " & m)})"
+
 #: DuckDB twins of the queries that SQL can say. The others need a tokenizer, XXH64, a trained model or positions of matches, or are approximate.
 ORACLES = {
     "op1_line_dedup": (
@@ -160,6 +195,40 @@ ORACLES = {
         "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) "
         "SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM "
         "(SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.l, c.l)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"),
+    "op11_filter_audit": (
+        r"WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), "
+        r"f AS MATERIALIZED (SELECT doc_id, part, t, length(t) AS n, len(l) AS w, len(list_distinct(l)) AS dw, n - length(regexp_replace(t, '[A-Z]', '', 'g')) AS cap, "
+        r"min(doc_id) OVER (PARTITION BY t) AS first FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d)), "
+        "g AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS bad FROM labels GROUP BY doc_id), "
+        f"c AS MATERIALIZED (SELECT part, {_BITS} AS b, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN g USING (doc_id) GROUP BY ALL), "
+        "p AS (SELECT a || b || c || d || e AS filter_order FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t1(a), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t2(b), "
+        "(VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t3(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t4(d), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t5(e) "
+        "WHERE len(list_distinct([a, b, c, d, e])) = 5), "
+        "s AS (SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter, 1 << (instr('ABCDE', letter) - 1) AS own, "
+        "list_sum(list_transform(range(1, step), lambda k: 1 << (instr('ABCDE', substr(filter_order, k, 1)) - 1)))::BIGINT AS earlier FROM p, range(1, 6) r(step)), "
+        "x AS (SELECT part, filter_order, step, letter, sum(n) FILTER (b & (coalesce(earlier, 0) | own) = 0) AS kept, sum(n) FILTER (b & own <> 0 AND b & coalesce(earlier, 0) = 0) AS removed, "
+        "sum(n) FILTER (b & own <> 0 AND b & coalesce(earlier, 0) <> 0) AS redundant, sum(n) FILTER (b = own) AS unique_fails, sum(good) FILTER (b & own <> 0 AND b & coalesce(earlier, 0) = 0) AS good_lost, "
+        "sum(bad) FILTER (b & own <> 0 AND b & coalesce(earlier, 0) = 0) AS toxic_lost FROM c, s GROUP BY ALL) "
+        "SELECT part, filter_order, step, " + ", ".join(f"coalesce({m}, 0)::BIGINT AS {m}" for m in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))
+        + ", (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM x"),
+    "op12_sharding": (
+        "WITH RECURSIVE tb AS MATERIALIZED (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+        "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) t(i))), "
+        "b AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS l FROM documents), "
+        f"d AS MATERIALIZED (SELECT doc_id, len(l) + 8 AS size, xor(list_reduce(list_prepend({sharding.WORD}::UBIGINT, l), lambda c, x: xor(c >> 8, tb[((xor(c, x) & 255) + 1)::BIGINT])), {sharding.WORD}::UBIGINT)::BIGINT AS text_crc32, "
+        "(row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1)::UBIGINT AS no FROM b, tb), "
+        "k AS MATERIALIZED (SELECT n, greatest(1, (len(bin(n - 1)) + 1) // 2)::UBIGINT AS h, ((1::UBIGINT << h) - 1)::UBIGINT AS m FROM (SELECT count(*) AS n FROM documents)), "
+        f"w(no, v, steps) AS (SELECT no, no, 0 FROM d UNION ALL SELECT no, (o.r << h) | o.l, steps + 1 FROM (SELECT no, steps, h, {_PASS} AS o FROM w, k WHERE steps = 0 OR v >= n)), "
+        "z AS (SELECT no, v::BIGINT AS p FROM w, k WHERE steps > 0 AND v < n) "
+        "SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 24)::INTEGER AS shard, p // 24 AS slot, NULL::INTEGER AS grown_shard FROM d JOIN z USING (no)"),
+    "op13_fill_in_middle": (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(t) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents), "
+        "c AS (SELECT *, " + ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4)) + " FROM d), "
+        "p AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') "
+        "OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c), "
+        "s AS (SELECT *, substring(t, 1, a) AS x, substring(t, a + 1, b - a) AS y, substring(t, b + 1, n - b) AS z FROM p) "
+        "SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, "
+        "sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM s"),
     "op10_url_filter": (
         f"WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, "
         "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), "
