@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import cut
+from . import digraph
 
 # fixed values: which output types each input type accepts
 ACCEPTS = {
@@ -104,44 +105,15 @@ def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(hit, ["source", "target"])
 
 
-def _inner_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = nodes.select("id")
-    e = edges.filter("source <> target").select("source", "target").distinct()
-    e = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-    return e.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-
-
-def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): remove nodes without incoming edges, round by round.
-
-    The round a node falls in is its longest distance from a source.  Nodes on or behind a cycle
-    are never removed and are absent.  A round only looks at the children of the last round.
-    """
-    alive = cut(_inner_edges(nodes, edges))
-    free = cut(nodes.select("id").distinct().join(alive.select(F.col("target").alias("id")), "id", "left_anti"))
-    done, level = [free.withColumn("level", F.lit(0))], 0
-    while True:
-        gone = alive.join(free.withColumnRenamed("id", "source"), "source", "left_semi")
-        left = cut(alive.join(free.withColumnRenamed("id", "source"), "source", "left_anti"))
-        nxt = gone.select(F.col("target").alias("id")).distinct().join(left.select(F.col("target").alias("id")), "id", "left_anti")
-        free = cut(nxt)
-        if free.isEmpty():
-            break
-        level += 1
-        done.append(free.withColumn("level", F.lit(level)))
-        alive = left
-    return reduce(DataFrame.union, done)
-
-
 def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): nodes that can never be ordered. A self-loop alone does not block a node."""
-    return nodes.select("id").distinct().join(peel(nodes, edges), "id", "left_anti")
+    return nodes.select("id").distinct().join(digraph.levels(nodes, edges), "id", "left_anti")
 
 
 def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, asap, alap): earliest and latest column, both from 0 to the critical-path length."""
-    asap = peel(nodes, edges).withColumnRenamed("level", "asap")
-    sink = peel(nodes, edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).withColumnRenamed("level", "sink")
+    asap = cut(digraph.levels(nodes, edges).withColumnRenamed("level", "asap"))
+    sink = digraph.levels(nodes, edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).withColumnRenamed("level", "sink")
     t = nodes.select("id").distinct().join(asap, "id", "left").join(sink, "id", "left")
     top = asap.agg(F.max("asap")).first()[0] or 0  # one number: the critical-path length
     return t.select("id", F.coalesce("asap", F.lit(0)).alias("asap"), (F.lit(top) - F.coalesce("sink", F.lit(0))).alias("alap"))
@@ -235,6 +207,14 @@ def check_edges(raw: DataFrame, nodes: DataFrame, ports: DataFrame | None = None
     return t.select("ord", "id", "source", "source_port", "target", "target_port", single.alias("single"), reason.alias("reason"))
 
 
+def _conflicts() -> list[tuple[Column, str]]:
+    """What two accepted edges must not share, and why."""
+    return [
+        (F.col("id"), "duplicate id"), (F.to_json(F.struct("source", "source_port", "target", "target_port")), "duplicate edge"),
+        (F.when(F.col("single"), F.to_json(F.struct("target", "target_port"))), "input taken"),
+    ]
+
+
 def sanitize_edges(raw: DataFrame, nodes: DataFrame, ports: DataFrame | None = None) -> DataFrame:
     """Every raw edge with ``reason``; null marks the accepted ones (cycles are G13's concern).
 
@@ -244,12 +224,8 @@ def sanitize_edges(raw: DataFrame, nodes: DataFrame, ports: DataFrame | None = N
     """
     checked = cut(check_edges(raw, nodes, ports))
     bad = checked.filter("reason is not null")
-    t = checked.filter("reason is null").withColumns({
-        "k_id": F.col("id"),
-        "k_end": F.to_json(F.struct("source", "source_port", "target", "target_port")),
-        "k_one": F.when(F.col("single"), F.to_json(F.struct("target", "target_port"))),
-    })
     keys = ["k_id", "k_end", "k_one"]
+    t = checked.filter("reason is null").withColumns({k: value for k, (value, _) in zip(keys, _conflicts())})
     left, taken, dropped = t, [], []
     while True:
         r = left
@@ -262,7 +238,7 @@ def sanitize_edges(raw: DataFrame, nodes: DataFrame, ports: DataFrame | None = N
             break
         taken.append(win)
         rest = left.join(win.select("ord"), "ord", "left_anti").withColumn("_hit", F.lit(None).cast("string"))
-        for k, why in zip(keys, ("duplicate id", "duplicate edge", "input taken")):
+        for k, (_, why) in zip(keys, _conflicts()):
             mark = win.filter(F.col(k).isNotNull()).select(k, F.lit(why).alias("_why")).distinct()
             rest = rest.join(mark, k, "left").withColumn("_hit", F.coalesce("_hit", "_why")).drop("_why")
         rest = cut(rest)
@@ -272,80 +248,24 @@ def sanitize_edges(raw: DataFrame, nodes: DataFrame, ports: DataFrame | None = N
     return reduce(DataFrame.union, [bad] + [d.select(cols) for d in taken + dropped])
 
 
-def _keep_acyclic(pdf):
-    """Earliest-first acceptance inside one bounded component (small helper, runs in a task)."""
-    pdf = pdf.sort_values("ord")
-    out: dict = {}
-    keep = []
-    for s, t in zip(pdf["source"], pdf["target"]):
-        seen, stack, closes = {t}, [t], s == t
-        while stack and not closes:
-            for n in out.get(stack.pop(), ()):
-                if n == s:
-                    closes = True
-                    break
-                if n not in seen:
-                    seen.add(n)
-                    stack.append(n)
-        if not closes:
-            out.setdefault(s, []).append(t)
-        keep.append(not closes)
-    return pdf[keep][["ord"]]
-
-
-def drop_back_edges(edges: DataFrame, task_edges: int = 20000) -> DataFrame:
-    """Accept edges(ord, source, target, …) earliest first so that none closes a cycle.
-
-    Only edges on or between cycles can ever be refused: everything that peels off from either end
-    is accepted at once.  The cyclic core is split into connected components; components of at
-    most ``task_edges`` edges are decided in parallel tasks, larger ones by the distributed loop
-    ``_bisect`` below, so no component size is refused and none is pulled into one task.
+def drop_back_edges(edges: DataFrame, window: int = digraph.WINDOW) -> DataFrame:
+    """Accept edges(ord, source, target, …) earliest first so that none closes a cycle of accepted ones (``digraph.accept_in_order``)."""
+    told = digraph.accept_in_order(edges, window=window)
+    return edges.join(told.filter("why is null").select("ord"), "ord", "left_semi")
+
+
+def sanitize_wiring(raw: DataFrame, nodes: DataFrame, ports: DataFrame | None = None, window: int = digraph.WINDOW) -> DataFrame:
+    """``sanitize_edges`` and ``drop_back_edges`` in one pass: every raw edge with ``reason``, null for the accepted ones.
+
+    Each edge is judged against the edges accepted before it, by all rules at once: a refused back edge takes no input, no id and
+    no endpoints away from a later edge, and an edge refused for its input closes no cycle.
     """
-    from .components import connected_components
-
-    plain = edges.filter("source <> target")
-    nodes = plain.select(F.col("source").alias("id")).union(plain.select(F.col("target").alias("id"))).distinct()
-    stuck = cut(find_cycles(nodes, plain))
-    if stuck.isEmpty():
-        return plain
-    # nodes that cannot be ordered from either end; the second peel only sees what the first left
-    core_nodes = cut(find_cycles(stuck, plain.select(F.col("target").alias("source"), F.col("source").alias("target"))))
-    core = plain.join(core_nodes.withColumnRenamed("id", "source"), "source", "left_semi")
-    core = cut(core.join(core_nodes.withColumnRenamed("id", "target"), "target", "left_semi"))
-    loose = plain.join(core.select("ord"), "ord", "left_anti").select("ord")
-    labels = connected_components(core.select(F.col("source").alias("a"), F.col("target").alias("b")))
-    core = cut(core.join(labels.select(F.col("id").alias("source"), F.col("label").alias("_c")), "source"))
-    size = core.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
-    big = cut(size.filter(F.col("_n") > task_edges).select("_c"))
-    small = core.join(big, "_c", "left_anti")
-    kept = small.select("_c", "ord", "source", "target").groupBy("_c").applyInPandas(_keep_acyclic, "ord long")
-    accepted = [loose, cut(kept)]
-    if not big.isEmpty():
-        accepted.append(_bisect(core.join(big, "_c", "left_semi")))
-    return edges.join(reduce(DataFrame.union, accepted), "ord", "left_semi")
-
-
-def _bisect(core: DataFrame) -> DataFrame:
-    """Accepted ``ord`` of one large cyclic core: find the longest acyclic prefix, refuse the next edge, repeat."""
-    ranked = cut(core.select("ord", "source", "target"))
-    total_hi = ranked.agg(F.max("ord")).first()[0]
-    refused: list[int] = []
-    done = -1
-
-    def acyclic(upto: int) -> bool:
-        e = ranked.filter((F.col("ord") <= upto) & ~F.col("ord").isin(refused)) if refused else ranked.filter(F.col("ord") <= upto)
-        n = e.select(F.col("source").alias("id")).union(e.select(F.col("target").alias("id"))).distinct()
-        return find_cycles(n, e).isEmpty()
-
-    while not acyclic(total_hi):
-        lo, hi = done, total_hi
-        while lo + 1 < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if acyclic(mid) else (lo, mid)
-        refused.append(hi)
-        done = hi
-    out = ranked.select("ord")
-    return out.filter(~F.col("ord").isin(refused)) if refused else out
+    checked = cut(check_edges(raw, nodes, ports))
+    keys, reasons = zip(*_conflicts())
+    told = digraph.accept_in_order(checked.filter("reason is null"), list(keys), window)
+    named = F.create_map(*[F.lit(x) for k, why in enumerate(reasons) for x in (f"key {k}", why)], F.lit("cycle"), F.lit("closes a cycle"))
+    told = told.select("ord", F.try_element_at(named, F.coalesce("why", F.lit(""))).alias("_why"))
+    return checked.join(told, "ord", "left").withColumn("reason", F.coalesce("reason", "_why")).select(checked.columns)
 
 
 def resolve_inputs(nodes: DataFrame, ports: DataFrame, edges: DataFrame, results: DataFrame) -> DataFrame:

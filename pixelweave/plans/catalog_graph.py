@@ -186,9 +186,9 @@ query("G11_sanitize_nodes", K.sql(
     "FROM part, range(2) t(c) WHERE c=0 OR p_partkey%4=1)"))(lambda s, sf: lg.sanitize_nodes(dirty_nodes(s, sf)))
 
 
-def dirty_edges(s, sf):
+def dirty_edges(s, sf, edges=dag_edges):
     """F8: the graph plus self-loops, dangling ends, repeats of ids and of whole edges, and nulls."""
-    e = dag_edges(s, sf)
+    e = edges(s, sf)
     k = F.col("source")
     m = e.withColumn("v", F.explode(F.array(*[F.lit(i) for i in range(6)]))).filter(
         (F.col("v") == 0) | ((F.col("v") == 1) & (k % 13 == 0)) | ((F.col("v") == 2) & (k % 17 == 0)) | ((F.col("v") == 3) & (k % 19 == 0))
@@ -208,13 +208,15 @@ _DIRTY = ("de AS (SELECT ord*6+v AS ord, CASE WHEN v=4 THEN NULL WHEN v IN (1,2)
 
 
 _FIT = "(" + " OR ".join(f"(i.port_type='{w}' AND o.port_type IN ({', '.join(repr(h) for h in have)}))" for w, have in lg.ACCEPTS.items()) + ")"
-# the greedy pass row by row: three sets travel through the recursion
-_GREEDY = (
+_VALID = (
     f"vd AS (SELECT e.ord, e.id, e.source, e.source_port, e.target, e.target_port, row_number() OVER (ORDER BY e.ord) AS k, "
     "concat_ws('|', e.source, e.source_port, e.target, e.target_port) AS ke, CASE WHEN NOT i.multiple THEN concat_ws('|', e.target, e.target_port) END AS ko "
     f"FROM de e JOIN n1 s ON s.id=e.source JOIN n1 t ON t.id=e.target JOIN po o ON o.type=s.type AND o.side='out' AND o.port=e.source_port "
-    f"JOIN po i ON i.type=t.type AND i.side='in' AND i.port=e.target_port WHERE e.id IS NOT NULL AND e.source<>e.target AND {_FIT}), "
-    "gz AS (SELECT 0::BIGINT AS k, false AS ok, []::VARCHAR[] AS a, []::VARCHAR[] AS b, []::VARCHAR[] AS c UNION ALL "
+    f"JOIN po i ON i.type=t.type AND i.side='in' AND i.port=e.target_port WHERE e.id IS NOT NULL AND e.source<>e.target AND {_FIT})"
+)
+# the greedy pass row by row: three sets travel through the recursion
+_GREEDY = (
+    _VALID + ", gz AS (SELECT 0::BIGINT AS k, false AS ok, []::VARCHAR[] AS a, []::VARCHAR[] AS b, []::VARCHAR[] AS c UNION ALL "
     "SELECT k, ok, CASE WHEN ok THEN list_append(a, id) ELSE a END, CASE WHEN ok THEN list_append(b, ke) ELSE b END, CASE WHEN ok AND ko IS NOT NULL THEN list_append(c, ko) ELSE c END FROM "
     "(SELECT v.k, v.id, v.ke, v.ko, g.a, g.b, g.c, NOT (list_contains(g.a, v.id) OR list_contains(g.b, v.ke) OR (v.ko IS NOT NULL AND list_contains(g.c, v.ko))) AS ok "
     "FROM gz g JOIN vd v ON v.k = g.k+1))"
@@ -234,7 +236,33 @@ query("G12_edge_reasons", K.sql(
     "LEFT JOIN po o ON o.type=s.type AND o.side='out' AND o.port=e.source_port LEFT JOIN po i ON i.type=t.type AND i.side='in' AND i.port=e.target_port) WHERE reason IS NOT NULL GROUP BY reason",
     _DAG, _nodes_sql("n1", 1), _PORTS, _DIRTY))(
     lambda s, sf: lg.check_edges(dirty_edges(s, sf), dag_nodes(s, sf), ports_table(s)).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
-query("G13_drop_back_edges")(lambda s, sf: lg.drop_back_edges(cyclic_edges(s, sf)))
+_CZ = "cz AS (SELECT * FROM cy WHERE source<>target)"
+_DOUBT = "db AS (SELECT ord, source, target, row_number() OVER (ORDER BY ord) AS k FROM cz e WHERE EXISTS (SELECT 1 FROM cl WHERE root = e.target AND node = e.source))"
+# edge by edge: the pairs that accepted edges connect are kept by the recursion, each with the edge that first connected them
+_PAIRED = ("rc(a, b, k) USING KEY (a, b) AS (SELECT -1::BIGINT, -1::BIGINT, 0::BIGINT UNION (WITH nx AS (SELECT e.* FROM rc c JOIN db e ON e.k = c.k + 1 WHERE c.a = -1), "
+           "go AS (SELECT * FROM nx WHERE NOT EXISTS (SELECT 1 FROM recurring.rc r WHERE r.a = nx.target AND r.b = nx.source)), "
+           "xs AS (SELECT r.a AS x FROM recurring.rc r JOIN go ON r.b = go.source UNION ALL SELECT source FROM go), ys AS (SELECT r.b AS y FROM recurring.rc r JOIN go ON r.a = go.target UNION ALL SELECT target FROM go) "
+           "SELECT -1::BIGINT, -1::BIGINT, k FROM nx UNION ALL SELECT x, y, (SELECT k FROM nx) FROM xs, ys WHERE NOT EXISTS (SELECT 1 FROM recurring.rc r WHERE r.a = x AND r.b = y)))")
+query("G13_drop_back_edges", K.sql(
+    "SELECT ord, id, source, source_port, target, target_port FROM cz LEFT JOIN db USING (ord, source, target) "
+    "WHERE k IS NULL OR NOT EXISTS (SELECT 1 FROM rc WHERE rc.a = target AND rc.b = source AND rc.k < db.k)", _DAG, _CYC, _CZ, _CLOSE.format("cz"), _DOUBT, _PAIRED))(
+    lambda s, sf: lg.drop_back_edges(cyclic_edges(s, sf)))
+_WIRED = ("rc(a, b, k) USING KEY (a, b) AS (SELECT '', '', 0::BIGINT UNION (WITH nx AS (SELECT v.* FROM rc c JOIN vd v ON v.k = c.k + 1 WHERE c.a = ''), "
+          "go AS (SELECT * FROM nx WHERE NOT EXISTS (SELECT 1 FROM recurring.rc r WHERE (r.a = 'n' || nx.target AND r.b = 'n' || nx.source) OR (r.a = 'id' AND r.b = nx.id) OR (r.a = 'end' AND r.b = nx.ke) OR (r.a = 'one' AND r.b = nx.ko))), "
+          "xs AS (SELECT r.a AS x FROM recurring.rc r JOIN go ON r.b = 'n' || go.source WHERE r.a LIKE 'n%' UNION ALL SELECT 'n' || source FROM go), "
+          "ys AS (SELECT r.b AS y FROM recurring.rc r JOIN go ON r.a = 'n' || go.target UNION ALL SELECT 'n' || target FROM go) "
+          "SELECT '', '', k FROM nx UNION ALL SELECT 'id', id, k FROM go UNION ALL SELECT 'end', ke, k FROM go UNION ALL SELECT 'one', ko, k FROM go WHERE ko IS NOT NULL "
+          "UNION ALL SELECT x, y, (SELECT k FROM nx) FROM xs, ys WHERE NOT EXISTS (SELECT 1 FROM recurring.rc r WHERE r.a = x AND r.b = y)))")
+
+
+def _wired(s, sf):
+    t = lg.sanitize_wiring(dirty_edges(s, sf, cyclic_edges), dag_nodes(s, sf), ports_table(s))
+    return t.filter("reason is null").select("ord", "id", "source", "source_port", "target", "target_port")
+
+
+query("G13_sanitize_wiring", K.sql(
+    "SELECT v.ord, v.id, v.source, v.source_port, v.target, v.target_port FROM vd v JOIN rc ON rc.a = 'id' AND rc.b = v.id AND rc.k = v.k",
+    _DAG, _CYC, _nodes_sql("n1", 1), _PORTS, _DIRTY.replace("FROM dg", "FROM cy"), _VALID, _WIRED))(_wired)
 
 
 def results(s, sf):

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from pixelweave.operators import digraph
 from pixelweave.operators import lineage as lg
+from pyspark.sql import functions as F
 
 EDGE = "ord long, id string, source long, source_port string, target long, target_port string"
 
@@ -33,14 +35,103 @@ def accept(pairs):
     return kept
 
 
-@pytest.mark.parametrize("task_edges", [20000, 2])
-def test_back_edges_are_refused_in_order(spark, task_edges):
+@pytest.mark.parametrize("window", [digraph.WINDOW, 3])
+def test_back_edges_are_refused_in_order(spark, window):
+    """Several parts, lines between them, loops and repeated arcs, decided at once or in many rounds."""
     rnd = random.Random(5)
     pairs = [(rnd.randrange(9), rnd.randrange(9)) for _ in range(22)] + [(100, 101), (101, 102)]
-    got = sorted(r.ord for r in lg.drop_back_edges(edges(spark, pairs), task_edges).collect())
+    pairs += [(a + 20, b + 20) for a, b in ((rnd.randrange(6), rnd.randrange(6)) for _ in range(12))] + [(40, 41), (41, 42), (42, 43), (43, 40), (3, 40), (43, 20)]
+    pairs += [(60, 61), (61, 62), (62, 50), (50, 60)]
+    rnd.shuffle(pairs)
+    got = sorted(r.ord for r in lg.drop_back_edges(edges(spark, pairs), window).collect())
     assert got == accept(pairs)
 
 
+def test_one_ring_of_any_length(spark):
+    """A ring loses its latest edge only, in a few rounds."""
+    n = 20000
+    ring = spark.range(n).select(F.expr(f"(id * 7919) % {n}").alias("ord"), F.col("id").alias("source"), ((F.col("id") + 1) % n).alias("target"))
+    refused = ring.join(lg.drop_back_edges(ring), "ord", "left_anti").collect()
+    assert [r.ord for r in refused] == [n - 1]
+
+
+def test_many_cyclic_parts_in_one_round(spark, monkeypatch):
+    rnd, pairs, rounds = random.Random(3), [], []
+    for k in range(300):
+        pairs += [(a + 20 * k, b + 20 * k) for a, b in ((rnd.randrange(8), rnd.randrange(8)) for _ in range(16))]
+    rnd.shuffle(pairs)
+    decide = digraph._decide
+    monkeypatch.setattr(digraph, "_decide", lambda keys: rounds.append(1) or decide(keys))
+    got = sorted(r.ord for r in lg.drop_back_edges(edges(spark, pairs)).collect())
+    assert got == accept(pairs) and len(rounds) == 1
+
+
+def test_no_cycle_no_edge(spark):
+    assert lg.drop_back_edges(edges(spark, []).limit(0)).count() == 0
+    assert sorted(r.ord for r in lg.drop_back_edges(edges(spark, [(1, 2), (2, 3), (1, 3), (None, 3), (3, None)])).collect()) == [0, 1, 2]
+
+
+def sanitize(rows):
+    """Accepted rows (ord, id, source, source_port, target, target_port) by all rules, one after another; every input takes one edge."""
+    ids, ends, inputs, out, kept = set(), set(), set(), {}, []
+    for o, i, s, sp, t, tp in rows:
+        if i in ids or (s, sp, t, tp) in ends or s == t or reaches(out, t, s) or (t, tp) in inputs:
+            continue
+        ids.add(i)
+        ends.add((s, sp, t, tp))
+        inputs.add((t, tp))
+        out.setdefault(s, []).append(t)
+        kept.append(o)
+    return kept
+
+
+@pytest.mark.parametrize("window", [digraph.WINDOW, 4])
+def test_wiring_is_sanitized_in_one_pass(spark, window):
+    """A back edge takes no input from a later edge, and an edge refused for its input closes no cycle."""
+    rnd = random.Random(8)
+    rows = [(0, "a", 1, "out", 2, "p"), (1, "b", 2, "out", 1, "p"), (2, "c", 3, "out", 1, "p"), (3, "d", 4, "out", 1, "p"), (4, "e", 1, "out", 4, "q"), (5, "e", 5, "out", 4, "q")]
+    for k in range(6, 60):
+        rows.append((k, f"i{rnd.randrange(40)}", rnd.randrange(10, 20), "out", rnd.randrange(10, 20), rnd.choice("pqrs")))
+    ports = spark.createDataFrame([("n", "out", "out", "image", False)] + [("n", "in", x, "image", False) for x in "pqrs"], "type string, side string, port string, port_type string, multiple boolean")
+    nodes = spark.createDataFrame([(k, "n") for k in range(20)], "id long, type string")
+    got = {r.ord: r.reason for r in lg.sanitize_wiring(spark.createDataFrame(rows, EDGE), nodes, ports, window).collect()}
+    assert len(got) == len(rows) and sorted(k for k, why in got.items() if why is None) == sanitize(rows)
+    assert [got[k] for k in range(6)] == [None, "closes a cycle", None, "input taken", None, "duplicate id"]
+
+
+def plain_levels(n, pairs):
+    """Longest ways from free nodes; nodes on or behind cycles are left out."""
+    into = {k: {a for a, b in pairs if b == k and a != b} for k in range(n)}
+    level, todo = {}, True
+    while todo:
+        todo = [k for k in range(n) if k not in level and into[k] <= level.keys()]
+        level |= {k: max((level[p] + 1 for p in into[k]), default=0) for k in todo}
+    return level
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels(spark, seed):
+    """Trees, lines, layers, cycles with what hangs behind them, and a hub."""
+    rnd = random.Random(seed)
+    pairs = [(rnd.randrange(k), k) for k in range(1, 30)] + [(a, b) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(15)) if a < b]
+    pairs += [(k, k + 1) for k in range(30, 60)] + [(5, 30), (60, 61), (61, 62), (62, 61), (62, 63), (63, 64), (64, 65), (10, 65), (66, 66), (67, 68), (68, 67)]
+    pairs += [(70, k) for k in range(71, 80)] + [(k, 80) for k in range(71, 80)] + [(80, 81), (70, 81)]
+    nodes = spark.createDataFrame([(k,) for k in range(82)], "id long")
+    want = plain_levels(82, pairs)
+    assert {r.id: r.level for r in digraph.levels(nodes, edges(spark, pairs)).collect()} == want
+    assert {r.id for r in lg.find_cycles(nodes, edges(spark, pairs)).collect()} == set(range(82)) - want.keys()
+
+
+def test_levels_of_a_long_line(spark, monkeypatch):
+    """100 000 nodes in a line, in fewer than 40 written rounds."""
+    n, rounds = 100000, []
+    line = spark.range(n - 1).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    cut = digraph.cut
+    monkeypatch.setattr(digraph, "cut", lambda df: rounds.append(1) or cut(df))
+    got = digraph.levels(spark.range(n), line).filter("level = id").count()
+    assert got == n and len(rounds) < 40
+
+
 def test_small_graph(spark):
     e = edges(spark, [(1, 2), (2, 3), (1, 4)])
     pairs = spark.createDataFrame([(1, 3), (3, 1), (4, 4), (4, 3)], "src long, dst long")
