@@ -19,6 +19,8 @@ from ..schema import cut
 #: Edges of a part that are decided in one task at a time, and bits of one word of a set of them.
 WINDOW = 2048
 BITS = 64
+#: Rounds that clear away what lies on no cycle before parts are sought.
+TRIM = 4
 #: Arcs that reachable sets pass between two written rounds.
 HOPS = 4
 
@@ -51,8 +53,9 @@ def climb(parents: DataFrame, join, whole: bool = False) -> tuple[DataFrame, Dat
     return t.filter("not more").drop("more"), None if rings is None else t.filter("more").drop("more")
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): the longest way to a node from one without incoming edges. Nodes on or behind a cycle are absent.
+def levels(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, level): the longest way to a node from one without incoming edges. Nodes on or behind a cycle are absent,
+    and nodes that are not settled after ``rounds`` rounds, if that is given.
 
     All nodes of level 0 are merged into one root. A node with one parent lies one arc above it, and ``climb`` takes it to its
     nearest ancestor of several parents, or to the root. Arcs are then drawn anew between what is left, the longest of
@@ -68,7 +71,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     root = free.select(F.col("id").alias("s"), F.lit(True).alias("_root"))
     arcs = arcs.join(root, "s", "left").select(F.when(F.col("_root").isNull(), F.col("s")).alias("p"), F.col("t").alias("v"), F.lit(1).cast("long").alias("w"))
     hung = []
-    while True:
+    while rounds is None or len(hung) < rounds:
         arcs = cut(arcs.groupBy("p", "v").agg(F.max("w").alias("w")))  # p null: the root
         single = cut(arcs.groupBy("v").agg(F.count("*").alias("_n"), F.max("p").alias("p"), F.max("w").alias("w")).filter("_n = 1").drop("_n"))
         if single.isEmpty():
@@ -87,27 +90,30 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def cyclic_nodes(arcs: DataFrame) -> DataFrame:
-    """(id): nodes on cycles or between them: what cannot be ordered from either end."""
+def maybe_cyclic(arcs: DataFrame) -> DataFrame:
+    """(id): all nodes on cycles, and few others: what ``TRIM`` rounds of ``levels`` from either end leave over."""
     edges = arcs.select(F.col("s").alias("source"), F.col("t").alias("target"))
     nodes = edges.select(F.col("source").alias("id")).union(edges.select(F.col("target").alias("id"))).distinct()
-    stuck = cut(nodes.join(levels(nodes, edges), "id", "left_anti"))
+    stuck = cut(nodes.join(levels(nodes, edges, TRIM), "id", "left_anti"))
     if stuck.isEmpty():
         return stuck
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return cut(stuck.join(levels(stuck, back), "id", "left_anti"))
+    return cut(stuck.join(levels(stuck, back, TRIM), "id", "left_anti"))
 
 
 def colours(arcs: DataFrame) -> DataFrame:
-    """(id, colour): the greatest node from which a node of ``arcs(s, t)`` can be reached, itself included."""
-    state = cut(arcs.select(F.col("s").alias("id")).union(arcs.select(F.col("t").alias("id"))).distinct().withColumn("colour", F.col("id")))
+    """(id, colour): the greatest node, in a random order, from which a node of ``arcs(s, t)`` can be reached, itself included."""
+    state = cut(arcs.select(F.col("s").alias("id")).union(arcs.select(F.col("t").alias("id"))).distinct().withColumn("colour", F.struct(F.xxhash64("id").alias("h"), "id")))
     front = state
     while True:
-        got = front.join(arcs, F.col("id") == F.col("s")).groupBy("t").agg(F.max("colour").alias("_new"))
-        front = cut(state.join(got, F.col("id") == F.col("t")).filter("_new > colour").select("id", F.col("_new").alias("colour")))
+        far = [front]
+        for _ in range(HOPS):
+            far.append(far[-1].join(arcs, F.col("id") == F.col("s")).groupBy("t").agg(F.max("colour").alias("colour")).select(F.col("t").alias("id"), "colour"))
+        got = reduce(DataFrame.unionByName, far[1:]).groupBy("id").agg(F.max("colour").alias("_new"))
+        front = cut(state.join(got, "id").filter("_new > colour").select("id", F.col("_new").alias("colour")))
         if front.isEmpty():
             return state
-        state = cut(state.join(front.select("id", F.col("colour").alias("_new")), "id", "left").select("id", F.coalesce("_new", "colour").alias("colour")))
+        state = cut(state.join(front, "id", "left_anti").unionByName(front))
 
 
 def turned(arcs: DataFrame) -> DataFrame:
@@ -126,8 +132,8 @@ def strong_parts(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The arcs (with their other columns) inside strongly connected parts, and (id, part) of the nodes there.
 
     Forward and backward colouring by turns: two nodes of one part have the same colours, and the part of the greatest node of a
-    colour is told apart from the rest by the backward pass. What crosses colours goes; when a
-    whole turn drops nothing, colours are parts. All parts are worked on at once.
+    colour is told apart from the rest by the backward pass. What crosses colours goes; when a whole turn drops nothing, colours
+    are parts. All parts are worked on at once, and as the greatest node is a random one, a few turns do.
     """
     while True:
         n = arcs.count()
@@ -136,7 +142,7 @@ def strong_parts(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         arcs, c = same_colour(arcs)
         arcs = turned(same_colour(turned(arcs))[0])
         if arcs.count() == n:
-            return arcs, c.withColumnRenamed("colour", "part")
+            return arcs, c.select("id", F.col("colour.id").alias("part"))
 
 
 def contract(core: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +255,7 @@ def accept_in_order(edges: DataFrame, keys: list[Column] = (), window: int = WIN
     t = cut(t.select("ord", "s", "t", *names, clash.alias("fixed")))
     # of equal arcs without clashes the first decides for all
     first = t.filter("not fixed").groupBy("s", "t").agg(F.min("ord").alias("ord"))
-    stuck = cyclic_nodes(t.select("s", "t").distinct())
+    stuck = maybe_cyclic(t.select("s", "t").distinct())
     inside = lambda d: d.join(stuck.select(F.col("id").alias("s")), "s", "left_semi").join(stuck.select(F.col("id").alias("t")), "t", "left_semi")
     core = cut(inside(first.withColumn("fixed", F.lit(False)).unionByName(t.filter("fixed").select("s", "t", "ord", "fixed"))))
     refused = []

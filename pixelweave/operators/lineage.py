@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schema import cut
 from . import digraph
+from .reach import paths_between
 
 # fixed values: which output types each input type accepts
 ACCEPTS = {
@@ -89,12 +90,10 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFram
 
 
 def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(src, dst) plus ``connected``; a node reaches itself."""
-    found = descendants(edges, pairs.select(F.col("src").alias("id"))).select(
-        F.col("root").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("_hit")
-    )
-    t = pairs.join(found, ["src", "dst"], "left")
-    return t.select(*pairs.columns, ((F.col("src") == F.col("dst")) | F.coalesce("_hit", F.lit(False))).alias("connected"))
+    """pairs(src, dst) plus ``connected``; a node reaches itself. Labels of the nodes settle most pairs (``reach``), no closure is built."""
+    found = paths_between(edges, pairs).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "connected")
+    t = pairs.join(found, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left")
+    return t.select(*pairs.columns, F.coalesce("connected", F.lit(False)).alias("connected"))
 
 
 def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:

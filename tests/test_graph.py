@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pixelweave.operators import digraph
+from pixelweave.operators import digraph, reach
 from pixelweave.operators import lineage as lg
 from pyspark.sql import functions as F
 
@@ -141,6 +141,59 @@ def test_small_graph(spark):
     assert {(r.source, r.target): r.cycle for r in lg.would_cycle(e, cand).collect()} == {(3, 1): True, (4, 3): False}
 
 
+def closure(pairs, a):
+    out = {}
+    for s, t in pairs:
+        out.setdefault(s, set()).add(t)
+    seen, stack = {a}, [a]
+    while stack:
+        fresh = out.get(stack.pop(), set()) - seen
+        seen |= fresh
+        stack += fresh
+    return seen
+
+
+@pytest.mark.parametrize("marks", [64, 256])
+def test_paths_against_brute_force(spark, monkeypatch, marks):
+    """Cycles, lines inside and behind them, a ring of its own, a hub, unknown nodes and nulls."""
+    monkeypatch.setattr(reach, "LANDMARKS", marks)
+    rnd = random.Random(marks)
+    pairs = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(190)]
+    pairs += [(a, a + 1) for a in range(200, 230)] + [(3, 200), (215, 5), (230, 9)] + [(a, a + 1) for a in range(300, 310)] + [(310, 300)] + [(7, k) for k in range(400, 440)] + [(k, 440) for k in range(400, 440)]
+    pairs += [(500, 501), (501, 502), (502, 501), (502, 503), (None, 1), (1, None), (8, 8)]
+    nodes = [*range(150), *range(200, 231, 3), *range(300, 311, 2), *range(400, 441, 7), 500, 501, 502, 503, 999]
+    asked = [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(3000)] + [(a, b) for a in range(300, 311) for b in (300, 305, 3)] + [(205, 204), (204, 205), (230, 200)]
+    want = {}
+    for a, b in asked:
+        want[a, b] = b in closure(pairs, a)
+    asked += [(None, 1), (1, None), (5, 5), (5, 5)]
+    want |= {(None, 1): False, (1, None): False, (5, 5): True}
+    got = lg.has_path(edges(spark, pairs), spark.createDataFrame(asked, "src long, dst long")).collect()
+    assert len(got) == len(asked) and {(r.src, r.dst): r.connected for r in got} == want
+
+
+def test_labels_settle_most_pairs(spark):
+    """Of random pairs few are left to the search, and no label contradicts the closure."""
+    rnd = random.Random(6)
+    pairs = sorted({(a, b) for a, b in ((rnd.randrange(400), rnd.randrange(400)) for _ in range(900)) if a < b})
+    arcs = spark.createDataFrame(pairs, "s long, t long")
+    asked = sorted({(rnd.randrange(400), rnd.randrange(400)) for _ in range(4000)})
+    told = reach.judged(spark.createDataFrame(asked, "src long, dst long"), reach.reach_labels(arcs), "src", "dst").collect()
+    reached = {a: closure(pairs, a) for a in range(400)}
+    assert all(r.known is None or r.known == (r.dst in reached[r.src]) for r in told)
+    assert sum(r.known is None for r in told) < len(asked) * 0.05
+
+
+def test_paths_along_a_long_line(spark, monkeypatch):
+    n, rounds = 30000, []
+    line = spark.range(n - 1).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    asked = spark.range(n).select(F.col("id").alias("src"), F.expr(f"(id * 7919) % {n}").alias("dst"))
+    cut = digraph.cut
+    for m in (digraph, reach):
+        monkeypatch.setattr(m, "cut", lambda df: rounds.append(1) or cut(df))
+    assert lg.has_path(line, asked).filter("connected <> (src <= dst)").isEmpty() and len(rounds) < 60
+
+
 def test_duplicate_is_judged_against_accepted_edges_only(spark):
     """(A, X), (B, X), (B, Y): the second id is refused for its endpoint, so the third may reuse its id."""
     rows = [(0, "A", 1, "out", 2, "x"), (1, "A", 1, "out", 3, "x"), (2, "B", 1, "out", 2, "x"), (3, "B", 1, "out", 3, "x")]
