@@ -42,11 +42,18 @@ def connected_components(links: DataFrame, keys: list[str] | None = None) -> Dat
     return nodes.join(star, [*keys, "id"], "left").select(*keys, "id", F.coalesce("label", "id").alias("label"))
 
 
-def runs(m: DataFrame, value: str = "on", keys: list[str] = IMG) -> DataFrame:
-    """(keys…, w, h, y, x0, x1, on): maximal horizontal runs of equal value (gaps and islands)."""
-    same = Window.partitionBy(*keys, "y", value).orderBy("x")
-    t = m.withColumn("_g", F.col("x") - F.row_number().over(same))
-    return t.groupBy(*keys, *SIZE, "y", value, "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
+#: Side of the tiles inside which runs are linked at first, and how many of them make a side of the next larger tile.
+TILE = 256
+GROW = 4
+
+
+def runs(m: DataFrame, value: str = "on", keys: list[str] = IMG, tile: int | None = None) -> DataFrame:
+    """(keys…, w, h, y, x0, x1, on): maximal horizontal runs of equal value (gaps and islands), cut at the borders of tiles if ``tile`` is given."""
+    part = [*keys, "y", value]
+    if tile is not None:
+        m, part = m.withColumn("_tx", F.floor(F.col("x") / tile)), [*part, "_tx"]
+    t = m.withColumn("_g", F.col("x") - F.row_number().over(Window.partitionBy(*part).orderBy("x")))
+    return t.groupBy(*SIZE, *part, "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).select(*keys, *SIZE, "y", value, "x0", "x1")
 
 
 def _node(y: Column, x: Column) -> Column:
@@ -54,83 +61,111 @@ def _node(y: Column, x: Column) -> Column:
     return y.cast("long") * F.lit(1 << 31).cast("long") + x.cast("long")
 
 
-BAND = 256  # rows whose links are resolved inside one task
-LINKS_PER_TASK = 200_000
-
-
-def _roots_in_band(keys: list[str]):
-    """Label the linked runs of some bands at once: vectorised minimum spreading with pointer jumping."""
+def _settle(keys: list[str]):
+    """Roots of linked nodes, tile by tile: rows come sorted by tile, and whole tiles are labelled at once."""
     import numpy as np
-    import pandas as pd
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        band = pdf.groupby([*keys, "_band"], sort=False).ngroup().to_numpy()
-        ids, node = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        code = np.concatenate([band, band]) * len(ids) + node
-        uniq, first, inv = np.unique(code, return_index=True, return_inverse=True)
-        a, b = inv[: len(pdf)], inv[len(pdf):]
+    import pyarrow as pa
+
+    group = [*keys, "ay", "ax"]
+
+    def label(t: pa.Table) -> pa.RecordBatch:
+        cols = [t.column(c).to_numpy() for c in group]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        tile = np.cumsum(new) - 1
+        a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+        ids, node = np.unique(np.concatenate([a, b]), return_inverse=True)
+        uniq, first, inv = np.unique(np.concatenate([tile, tile]) * len(ids) + node, return_index=True, return_inverse=True)
+        a, b = inv[: t.num_rows], inv[t.num_rows:]
         root = np.arange(len(uniq))
-        while True:
+        while True:  # smallest linked node, with pointer jumping
             low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if np.array_equal(new, root):
+            next_ = root.copy()
+            np.minimum.at(next_, root[a], low)
+            np.minimum.at(next_, root[b], low)
+            next_ = next_[next_]
+            if np.array_equal(next_, root):
                 break
-            root = new
-        # codes of one band are ordered like its node ids, so the smallest code is the first pixel
-        out = {k: pdf[k].to_numpy()[first % len(pdf)] for k in keys}
-        return pd.DataFrame({**out, "id": ids[uniq % len(ids)], "root": ids[uniq[root] % len(ids)]})
-
-    return label
-
-
-def label_links(links: DataFrame, keys: list[str], band_of) -> DataFrame:
-    """links(keys…, a, b) between runs -> (keys…, id, label).
-
-    Links inside a band of rows are settled where they are: bands are packed into bounded tasks and
-    labelled there in one pass.  Only links across band borders, already reduced to one per pair of
-    band components, take the distributed rounds; a corpus of small images has none of those.
+            root = next_
+        # codes of one tile are ordered like its node ids, so the smallest code is the first pixel
+        own = [t.column(k).take(pa.array(first % t.num_rows)).combine_chunks() for k in keys]
+        return pa.RecordBatch.from_arrays([*own, pa.array(ids[uniq % len(ids)]), pa.array(ids[uniq[root] % len(ids)])], names=[*keys, "id", "root"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = np.ones(t.num_rows, bool)
+            for c in group:
+                v = t.column(c).to_numpy()
+                last &= v == v[-1]
+            start = t.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+            if start:
+                yield label(t.slice(0, start))
+            held = t.slice(start)
+        if held is not None and held.num_rows:
+            yield label(held)
+
+    return run
+
+
+def label_links(links: DataFrame, keys: list[str]) -> DataFrame:
+    """links(keys…, a, b, ay, ax, by, bx) between nodes in tiles -> (keys…, id, label), the smallest id of each component.
+
+    Links inside a tile are settled where they are. The others then link whole components, one link a pair, and ``GROW`` by ``GROW``
+    tiles become one, until none is left: as many rounds as the image's side has digits to that base. A task
+    holds one tile, and of a larger tile only links across the borders of the tiles it is made of, so its size goes with
+    the side of an image and not with its area. Tiles of small images share tasks.
     """
-    links = cut(links.withColumns({"_band": band_of(F.col("a")), "_other": band_of(F.col("b"))}))
-    inner, cross = links.filter("_band = _other").drop("_other"), links.filter("_band <> _other")
-    tasks = max(1, -(-links.count() // LINKS_PER_TASK))  # footers only
-    tasks = max(tasks, min(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // 2000)))
-    bucket = F.pmod(F.xxhash64(*keys, "_band"), F.lit(int(tasks)))
-    types = dict(inner.dtypes)
+    types = dict(links.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "id bigint", "root bigint"])
-    local = inner.withColumn("_task", bucket).groupBy("_task").applyInPandas(
-        _roots_in_band(keys), schema)
-    if cross.isEmpty():
-        return local.withColumnRenamed("root", "label")
-    local = cut(local)
-    root_of = lambda c: local.select(*keys, F.col("id").alias(c), F.col("root").alias(f"_r{c}"))
-    t = cross.join(root_of("a"), [*keys, "a"], "left").join(root_of("b"), [*keys, "b"], "left")
-    t = t.select(*keys, F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")).distinct()
-    top = cut(connected_components(t, keys))
-    t = local.join(top.withColumnsRenamed({"id": "root", "label": "_top"}), [*keys, "root"], "left")
-    t = t.select(*keys, "id", F.coalesce("_top", "root").alias("label"))
-    # a run without links inside its band still belongs to what it touches across the border
-    return t.union(top.join(local.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, "id", "label"))
-
-
-def label_runs(r: DataFrame, value: str = "on", keys: list[str] = IMG) -> DataFrame:
-    """Runs plus ``label_x, label_y``, the first pixel (row-major) of the run's 4-connected component.
-
-    A run touches a run of the row below when their spans overlap.  Both rows' runs are swept in x
-    order per row boundary, and each run only looks at the one active run of the other row: no
-    range join, and no pair that does not touch is ever formed.
+    links = cut(links)
+    labels = None
+    while True:
+        inside = (F.col("ay") == F.col("by")) & (F.col("ax") == F.col("bx"))
+        tiles = links.filter(inside).select(*keys, "ay", "ax", "a", "b").repartition(*keys, "ay", "ax").sortWithinPartitions(*keys, "ay", "ax")
+        roots = cut(tiles.mapInArrow(_settle(keys), schema))
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            t = labels.join(roots.select(*keys, F.col("id").alias("label"), "root"), [*keys, "label"], "left")
+            t = t.select(*keys, "id", F.coalesce("root", "label").alias("label"))
+            # what has no link inside its tile still belongs to what it touches across the border
+            alone = roots.join(labels.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, "id", F.col("root").alias("label"))
+            labels = cut(t.unionByName(alone))
+        rest = links.filter(~inside)
+        for end in "ab":
+            known = roots.select(*keys, F.col("id").alias(end), F.col("root").alias("_r"))
+            rest = rest.join(known, [*keys, end], "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+        larger = [F.floor(F.col(c) / GROW).cast("int").alias(c) for c in ("ay", "ax", "by", "bx")]
+        links = cut(rest.select(*keys, "a", "b", *larger).distinct())
+        if links.isEmpty():
+            return labels
+
+
+def label_runs(r: DataFrame, value: str = "on", keys: list[str] = IMG, tile: int = TILE) -> DataFrame:
+    """Runs within tiles plus ``label_x, label_y``, the first pixel (row-major) of the run's 4-connected component.
+
+    A run touches a run of the row below when their spans overlap, and one beside it when they meet at the border of two tiles.
+    Both rows' runs are swept in x order per row boundary of a tile, and each run only looks at the one active run of the other row:
+    no range join, and no pair that does not touch is ever formed.
     """
-    r = cut(r)
-    up = r.select(*keys, "y", value, "x0", "x1", F.lit(0).alias("_side"))
-    down = r.filter("y > 0").select(*keys, (F.col("y") - 1).alias("y"), value, "x0", "x1", F.lit(1).alias("_side"))
-    sweep = Window.partitionBy(*keys, "y", value).orderBy("x0", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    r = cut(r.withColumn("_tx", F.floor(F.col("x0") / tile).cast("int")))
+    up = r.select(*keys, "y", "_tx", value, "x0", "x1", F.lit(0).alias("_side"))
+    down = r.filter("y > 0").select(*keys, (F.col("y") - 1).alias("y"), "_tx", value, "x0", "x1", F.lit(1).alias("_side"))
+    sweep = Window.partitionBy(*keys, "y", "_tx", value).orderBy("x0", "_side").rowsBetween(Window.unboundedPreceding, 0)
     active = lambda s: F.last(F.when(F.col("_side") == s, F.struct("x0", "x1")), ignorenulls=True).over(sweep)
     ev = up.union(down).withColumns({"_a": active(0), "_b": active(1)})
     touch = ev.filter("_a is not null and _b is not null and _a.x1 >= _b.x0 and _b.x1 >= _a.x0")
-    links = touch.select(*keys, _node(F.col("y"), F.col("_a.x0")).alias("a"), _node(F.col("y") + 1, F.col("_b.x0")).alias("b"))
-    labels = label_links(links, keys, lambda n: F.floor(F.shiftright(n, 31) / BAND).cast("int")).withColumnRenamed("id", "_id")
+    row = lambda c: F.floor(c / tile).cast("int")
+    links = touch.select(*keys, _node(F.col("y"), F.col("_a.x0")).alias("a"), _node(F.col("y") + 1, F.col("_b.x0")).alias("b"),
+                         row(F.col("y")).alias("ay"), F.col("_tx").alias("ax"), row(F.col("y") + 1).alias("by"), F.col("_tx").alias("bx"))
+    left = r.filter((F.col("x1") + 1) % tile == 0).select(*keys, "y", value, (F.col("x1") + 1).alias("_x"), F.col("x0").alias("_a"), F.col("_tx").alias("ax"))
+    right = r.filter(F.col("x0") % tile == 0).select(*keys, "y", value, F.col("x0").alias("_x"), F.col("_tx").alias("bx"))
+    beside = left.join(right, [*keys, "y", value, "_x"])
+    beside = beside.select(*keys, _node(F.col("y"), F.col("_a")).alias("a"), _node(F.col("y"), F.col("_x")).alias("b"), row(F.col("y")).alias("ay"), "ax", row(F.col("y")).alias("by"), "bx")
+    labels = label_links(links.unionByName(beside), keys).withColumnRenamed("id", "_id")
     t = r.withColumn("_id", _node(F.col("y"), F.col("x0"))).join(labels, [*keys, "_id"], "left")
     label = F.coalesce("label", "_id")
     side = F.lit(1 << 31).cast("long")
@@ -142,17 +177,17 @@ def _explode_runs(r: DataFrame) -> DataFrame:
     return r.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
 
 
-def components(p: DataFrame, cut_level: float = 128, white_only: bool = True) -> DataFrame:
+def components(p: DataFrame, cut_level: float = 128, white_only: bool = True, tile: int = TILE) -> DataFrame:
     """(image_id, frame, x, y, on, label_x, label_y) of the 4-connected components of a mask."""
     m = p.select(*IMG, *SIZE, *POS, (luminance() >= d(cut_level)).alias("on"))
     if white_only:
         m = m.filter("on")
-    return _explode_runs(label_runs(runs(m))).select(*IMG, *POS, "on", "label_x", "label_y")
+    return _explode_runs(label_runs(runs(m, tile=tile), tile=tile)).select(*IMG, *POS, "on", "label_x", "label_y")
 
 
-def _flip_small(r: DataFrame, value: bool, min_size: int, enclosed_only: bool) -> DataFrame:
+def _flip_small(r: DataFrame, value: bool, min_size: int, enclosed_only: bool, tile: int) -> DataFrame:
     """Runs with components of ``value`` smaller than ``min_size`` flipped."""
-    lab = cut(label_runs(r.filter(F.col("on") == value)))
+    lab = cut(label_runs(r.filter(F.col("on") == value), tile=tile))
     edge = (F.col("y") == 0) | (F.col("y") == F.col("h") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("w") - 1)
     key = [*IMG, "label_x", "label_y"]
     size = lab.groupBy(*key).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"), F.max(edge).alias("_edge"))
@@ -163,31 +198,34 @@ def _flip_small(r: DataFrame, value: bool, min_size: int, enclosed_only: bool) -
     return t.unionByName(r.filter(F.col("on") != value).select(*IMG, *SIZE, "y", "x0", "x1", "on"))
 
 
-def despeckle(p: DataFrame, min_area: float = 9, min_hole_area: float = 0, cut_level: float = 128) -> DataFrame:
+def despeckle(p: DataFrame, min_area: float = 9, min_hole_area: float = 0, cut_level: float = 128, tile: int = TILE) -> DataFrame:
     """Drop white specks, then fill enclosed black holes; works on runs until the last step."""
     m = p.select(*IMG, *SIZE, *POS, (luminance() >= d(cut_level)).alias("on"))
-    r = runs(m)
+    r = runs(m, tile=tile)
     if min_area > 1:
-        r = _flip_small(r, True, int(min_area), False)
+        r = _flip_small(r, True, int(min_area), False, tile)
     if min_hole_area > 0:
         if min_area > 1:  # flipped neighbours have to be merged into maximal runs again
-            r = runs(_explode_runs(r))
-        r = _flip_small(r, False, int(min_hole_area), True)
+            r = runs(_explode_runs(r), tile=tile)
+        r = _flip_small(r, False, int(min_hole_area), True, tile)
     return bw(_explode_runs(r), F.col("on")).select(*PIXEL)
 
 
-def magic_wand(p: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
+def magic_wand(p: DataFrame, seeds: DataFrame, tolerance: float, tile: int = TILE) -> DataFrame:
     """(image_id, frame, x, y): pixels connected to a seed within tolerance of that seed's colour.
 
     ``seeds`` is (image_id, frame, seed_id, x, y).  Each seed floods its own candidate pixels, all
-    seeds of all images at once; the colour test is part of the join, so other pixels never leave it.
+    seeds of all images at once; the colour test is part of the join, so other pixels never leave it. Seeds go to every strip
+    of ``tile`` rows of their image, and pixels meet them by strip.
     """
     keys = [*IMG, "seed_id"]
     s = seeds.select(*keys, jsround("x").alias("x"), jsround("y").alias("y"))
-    s = s.join(p, [*IMG, *POS]).select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), *[F.col(ch).alias(f"_s{ch}") for ch in RGB])
-    t = p.join(s, IMG).filter(F.greatest(*[F.abs(F.col(ch) - F.col(f"_s{ch}")) for ch in RGB]) <= tolerance)
-    r = runs(t.select(*keys, *SIZE, *POS, F.lit(True).alias("on")), keys=keys)
-    lab = label_runs(r, keys=keys)
+    s = s.join(p, [*IMG, *POS]).select(*keys, "h", F.col("x").alias("sx"), F.col("y").alias("sy"), *[F.col(ch).alias(f"_s{ch}") for ch in RGB])
+    s = cut(s)
+    strip = s.drop("sx", "sy").withColumn("_ty", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / tile).cast("int")))).drop("h")
+    t = p.withColumn("_ty", F.floor(F.col("y") / tile).cast("int")).join(strip, [*IMG, "_ty"]).drop("_ty").filter(F.greatest(*[F.abs(F.col(ch) - F.col(f"_s{ch}")) for ch in RGB]) <= tolerance)
+    r = runs(t.select(*keys, *SIZE, *POS, F.lit(True).alias("on")), keys=keys, tile=tile)
+    lab = label_runs(r, keys=keys, tile=tile)
     start = s.select(*keys, F.col("sy").alias("y"), "sx")
     home = lab.join(start, [*keys, "y"]).filter("sx between x0 and x1").select(*keys, "label_x", "label_y").distinct()
     hit = lab.join(home, [*keys, "label_x", "label_y"], "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import c, clamp, d, jsround, luminance, rgb_to_hsv, u8
@@ -215,42 +215,48 @@ def gloss_preview(art: DataFrame, gloss: DataFrame | None = None, height: DataFr
     return t.select(*PIXEL[:6], *[u8(base(ch) + (d(255) - base(ch)) * F.col("_w")).alias(ch) for ch in RGB], "a")
 
 
-def _stencil(reach: float) -> list[tuple[int, int, float]]:
-    """Offsets within an octile distance: straight steps cost 1, diagonal ones the root of two."""
-    n = math.floor(reach)
-    out = []
-    for dy in range(-n, n + 1):
-        for dx in range(-n, n + 1):
-            lo, hi = sorted((abs(dx), abs(dy)))
-            dist = hi - lo + math.sqrt(2) * lo
-            if dist <= reach:
-                out.append((dx, dy, dist))
-    return out
+DIAGONAL = math.sqrt(2)
+
+
+def _spread(t: DataFrame, line: Column, at: Column, diagonal: bool) -> DataFrame:
+    """Straight and diagonal steps (n, m) to the nearest source, lowered by steps along one family of lines.
+
+    Along a line a source at q costs cost(q) + c |at - q|. The least of cost - c q over what lies before a pixel names the best source
+    there, whatever its distance: one running minimum each way. Steps are counted, so lengths carry no rounding.
+    """
+    c = DIAGONAL if diagonal else 1.0
+    cost = F.col("_n") + F.lit(DIAGONAL) * F.col("_m")
+    t = t.withColumns({"_line": line, "_at": at}).withColumn("_cost", cost)
+    every = Window.partitionBy(*IMG, "_line")
+
+    def best(sign: float, order: Column) -> Column:
+        own = F.when(F.col("_n").isNotNull(), F.struct((F.col("_cost") - F.lit(sign * c) * F.col("_at")).alias("k"), F.col("_n").alias("n"), F.col("_m").alias("m"), F.col("_at").alias("q")))
+        return F.min(own).over(every.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+    t = t.withColumns({"_f": best(1.0, F.col("_at").asc()), "_b": best(-1.0, F.col("_at").desc())})
+    before, behind = F.col("_f.k") + F.lit(c) * F.col("_at"), F.col("_b.k") - F.lit(c) * F.col("_at")
+    src = F.when(F.col("_b").isNull() | (before <= behind), F.col("_f")).otherwise(F.col("_b"))
+    t = t.withColumn("_src", src)
+    steps = F.abs(F.col("_at") - F.col("_src.q"))
+    n, m = F.col("_src.n"), F.col("_src.m")
+    return t.withColumns({"_n": n if diagonal else n + steps, "_m": m + steps if diagonal else m}).drop("_line", "_at", "_cost", "_f", "_b", "_src")
 
 
 def distance_to_opaque(p: DataFrame, alpha_threshold: float = 0, max_distance: float = 8) -> DataFrame:
     """(…, dist): octile distance to the nearest pixel with more alpha; null beyond ``max_distance``.
 
-    The octile metric splits into steps along rows, columns and the diagonals; within a bounded
-    reach it is the minimum over a fixed stencil.  Only opaque pixels that touch a non-opaque
-    neighbour can be nearest to an outside pixel, so only those are expanded.
+    A shortest way in the octile metric goes along a row or a column and along one diagonal, inside the rectangle between its
+    ends. So scans along rows, columns and both diagonals (``_spread``) one after another find it: the cost does not
+    depend on the reach. Pixels are dealt out by line, and no task holds more of one image than its lines.
     """
     on = F.col("a") > alpha_threshold
-    t = in_bands(p, 1).withColumn("_on", F.when(on, F.lit(1)).otherwise(F.lit(0)))
-    t = shifted(t, ["_on"], 1, "row")
-    t = t.withColumn("_row", F.least("_on", "_on_m1", "_on_p1")).drop("_on_m1", "_on_p1")
-    t = shifted(t, ["_row"], 1, "column")
-    t = out_of_bands(t.withColumn("_deep", F.least("_row", "_row_m1", "_row_p1")), 1)
-    rim = t.filter("_on = 1 and _deep = 0")
-    cells = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(e).alias("dist"))
-                      for a, b, e in _stencil(max_distance) if (a, b) != (0, 0)])
-    reach = rim.select(*IMG, *SIZE, *POS, F.explode(cells).alias("_s")).select(
-        *IMG, *SIZE, (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"),
-        F.col("_s.dist").alias("dist"),
-    ).filter("x >= 0 and y >= 0 and x < w and y < h")
-    near = reach.groupBy(*IMG, *POS).agg(F.min("dist").alias("_near"))
-    out = p.join(near, [*IMG, *POS], "left")
-    return out.withColumn("dist", F.when(on, d(0)).otherwise(F.col("_near"))).drop("_near")
+    t = p.withColumns({"_n": F.when(on, F.lit(0)), "_m": F.when(on, F.lit(0))})
+    t = _spread(t, F.col("y"), F.col("x"), False)
+    t = _spread(t, F.col("x"), F.col("y"), False)
+    t = _spread(t, F.col("x") - F.col("y"), F.col("y"), True)
+    t = _spread(t, F.col("x") + F.col("y"), F.col("y"), True)
+    dist = F.col("_n") + F.lit(DIAGONAL) * F.col("_m")
+    return t.withColumn("dist", F.when(dist <= max_distance, dist)).drop("_n", "_m")
 
 
 def outline(p: DataFrame, thickness: float, color, alpha_threshold: float = 0) -> DataFrame:

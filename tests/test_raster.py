@@ -1,5 +1,7 @@
 """Literal cases and NumPy cross-checks of the raster operators."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from helpers import noise, pixels, raster, u8
@@ -171,14 +173,29 @@ def flood(on):
     return lab
 
 
-@pytest.mark.parametrize("band", [256, 4, 1])
-def test_components_across_bands(spark, band, monkeypatch):
-    monkeypatch.setattr(components, "BAND", band)
-    on = np.random.default_rng(2).random((17, 13)) < 0.6
-    a = np.repeat(np.where(on, 255, 0)[..., None], 4, 2)
-    got = {(r.y, r.x): (r.label_y, r.label_x) for r in components.components(pixels(spark, a)).collect()}
-    want = {k: v for k, v in flood(on).items() if on[k]}
-    assert got == want
+@pytest.mark.parametrize("tile", [256, 5, 2, 1])
+def test_components_across_tiles(spark, tile):
+    """Tiles of any size, merged over several levels: noise, a spiral through all tiles, and columns that meet at the last row only."""
+    noisy = np.random.default_rng(2).random((23, 37)) < 0.6
+    spiral = np.zeros((25, 25), bool)
+    y, x, dy, dx = 0, 0, 0, 1
+    for _ in range(400):
+        spiral[y, x] = True
+        ahead = (y + 2 * dy, x + 2 * dx)
+        if not (0 <= y + dy < 25 and 0 <= x + dx < 25) or (0 <= ahead[0] < 25 and 0 <= ahead[1] < 25 and spiral[ahead]):
+            dy, dx = dx, -dy
+        if spiral[y + dy, x + dx]:
+            break
+        y, x = y + dy, x + dx
+    comb = np.zeros((18, 21), bool)
+    comb[:, ::2] = True
+    comb[-1] = True
+    images = [noisy, spiral, comb, np.ones((9, 30), bool), np.zeros((4, 4), bool)]
+    table = [pixels(spark, np.repeat(np.where(on, 255, 0)[..., None], 4, 2), k) for k, on in enumerate(images)]
+    out = components.components(reduce(lambda a, b: a.union(b), table), tile=tile).collect()
+    for k, on in enumerate(images):
+        got = {(r.y, r.x): (r.label_y, r.label_x) for r in out if r.image_id == k}
+        assert got == {q: v for q, v in flood(on).items() if on[q]}
 
 
 def test_despeckle_blob_and_speck(spark):
@@ -197,7 +214,7 @@ def test_wand_ignores_seeds_outside(spark):
     a = np.zeros((3, 4, 4), int)
     a[:, 2:] = 200
     seeds = spark.createDataFrame([(1, 0, 0, 0.4, 0.4), (1, 0, 1, 9.0, 0.0)], "image_id long, frame int, seed_id int, x double, y double")
-    got = {(r.x, r.y) for r in components.magic_wand(pixels(spark, a), seeds, 10).collect()}
+    got = {(r.x, r.y) for r in components.magic_wand(pixels(spark, a), seeds, 10, tile=2).collect()}
     assert got == {(x, y) for x in (0, 1) for y in (0, 1, 2)}
 
 
@@ -210,3 +227,23 @@ def test_outline_reaches_thickness(spark):
 
 def test_images_of_has_one_row_per_frame(spark):
     assert images_of(pixels(spark, noise(3, 4))).collect()[0].asDict() == {"image_id": 1, "frame": 0, "w": 4, "h": 3}
+
+
+@pytest.mark.parametrize("reach", [1, 4.5, 200])
+def test_distance_against_brute_force(spark, reach):
+    """Octile distance to the nearest opaque pixel, at any reach, with several images, an empty and a full one."""
+    rng, images = np.random.default_rng(5), []
+    for h, w, share in ((31, 17, 0.02), (5, 40, 0.01), (12, 12, 0), (6, 6, 1)):
+        a = np.zeros((h, w, 4), int)
+        a[..., 3] = np.where(rng.random((h, w)) < share, 200, 7)
+        images.append(a)
+    table = reduce(lambda a, b: a.union(b), [pixels(spark, a, k) for k, a in enumerate(images)])
+    got = {(r.image_id, r.y, r.x): r.dist for r in neighborhood.distance_to_opaque(table, 10, reach).collect()}
+    for k, a in enumerate(images):
+        ys, xs = np.nonzero(a[..., 3] > 10)
+        for y in range(a.shape[0]):
+            for x in range(a.shape[1]):
+                dy, dx = np.abs(ys - y), np.abs(xs - x)
+                lo = np.minimum(dx, dy)
+                best = (np.maximum(dx, dy) - lo + np.sqrt(2) * lo).min(initial=np.inf)
+                assert got[k, y, x] == (best if best <= reach else None)
