@@ -17,6 +17,8 @@ from .sweep import eye_offset
 # fixed values of the projection
 MIN_VARIANCE_PX = 0.3
 DEPTH_BUCKETS = 1 << 16
+#: Depth buckets of one chunk; a pixel has at most DEPTH_BUCKETS / CHUNK chunks.
+CHUNK = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -206,10 +208,10 @@ def splat_footprint(t: DataFrame, v: CloudView) -> DataFrame:
 def composite_splats(foot: DataFrame) -> DataFrame:
     """(image_id, frame, x, y, pr, pg, pb, alpha, depth): far to near over-blend at every touched pixel.
 
-    What a splat adds is its opacity times the transmittance of everything nearer, a running sum of
-    logarithms over the pixel's splats from the nearest: a spillable window, not a collected list.
-    Footprints (one row per splat and eye) are written once: they are read for the depth range and
-    again for the far larger expansion into pixels.
+    Layers form an ordered monoid: (light, transmittance), where what lies in front dims what lies behind. Each pixel's splats are
+    folded by depth chunk first, at most ``DEPTH_BUCKETS / CHUNK`` of them, and then the chunks, so no task orders the whole list of
+    a pixel. A splat of full opacity leaves a transmittance of exactly 0. Footprints (one row per splat and
+    eye) are written once: they are read for the depth range and again for the far larger expansion into pixels.
     """
     key = ["cloud_id", "view"]
     foot = cut(foot)
@@ -221,14 +223,15 @@ def composite_splats(foot: DataFrame) -> DataFrame:
     dx, dy = d("x") + 0.5 - F.col("sx_px"), d("y") + 0.5 - F.col("sy_px")
     power = (F.col("i00") * dx * dx + F.col("i01") * dx * dy * 2 + F.col("i11") * dy * dy) * 0.5
     t = t.withColumn("_p", power).filter("_p <= 8").withColumn("_av", d("a") / 255.0 * F.exp(-F.col("_p"))).filter(F.col("_av") >= 1 / 512)
-    t = t.select(F.col("cloud_id").alias("image_id"), F.col("view").alias("frame"), *POS, "_q", "splat_id", "cz", *RGB, "_av")
-    near = Window.partitionBy(*IMG, *POS).orderBy(F.desc("_q"), F.desc("splat_id")).rowsBetween(Window.unboundedPreceding, -1)
-    solid = F.when(F.col("_av") >= 1, F.lit(1)).otherwise(F.lit(0))
-    pass_ = F.when(F.col("_av") < 1, F.log(F.when(F.col("_av") < 1, d(1) - F.col("_av")).otherwise(d(1)))).otherwise(d(0))
-    t = t.withColumns({"_ln": F.coalesce(F.sum(pass_).over(near), d(0)), "_stop": F.coalesce(F.sum(solid).over(near), F.lit(0))})
-    t = t.withColumn("_w", F.when(F.col("_stop") > 0, d(0)).otherwise(F.col("_av") * F.exp("_ln")))
-    return t.groupBy(*IMG, *POS).agg(*[F.sum(d(ch) / 255.0 * F.col("_w")).alias(f"p{ch}") for ch in RGB],
-                                    F.sum("_w").alias("alpha"), F.sum(F.col("cz") * F.col("_w")).alias("depth"))
+    t = t.select(F.col("cloud_id").alias("image_id"), F.col("view").alias("frame"), *POS, F.floor(F.col("_q") / CHUNK).alias("_chunk"), "_q", "splat_id", "cz", *RGB, "_av")
+    through = F.greatest(d(0), d(1) - F.col("_av"))
+    nearer = lambda over: F.coalesce(F.product("_t").over(over.rowsBetween(Window.unboundedPreceding, -1)), d(1))
+    t = t.withColumn("_t", through)
+    t = t.withColumn("_w", F.col("_av") * nearer(Window.partitionBy(*IMG, *POS, "_chunk").orderBy(F.desc("_q"), F.desc("splat_id"))))
+    light = {**{f"p{ch}": d(ch) / 255.0 * F.col("_w") for ch in RGB}, "alpha": F.col("_w"), "depth": F.col("cz") * F.col("_w")}
+    chunks = t.groupBy(*IMG, *POS, "_chunk").agg(*[F.sum(e).alias(n) for n, e in light.items()], F.product("_t").alias("_t"))
+    chunks = chunks.withColumn("_front", nearer(Window.partitionBy(*IMG, *POS).orderBy(F.desc("_chunk"))))
+    return chunks.groupBy(*IMG, *POS).agg(*[F.sum(F.col(n) * F.col("_front")).alias(n) for n in light])
 
 
 def resolve_views(acc: DataFrame, clouds: DataFrame, v: CloudView) -> DataFrame:

@@ -161,6 +161,17 @@ def _split(s, sf):
 
 
 query("E5_cache_hits", K.sql("SELECT request_id, key, answer FROM ky JOIN ch USING (key) WHERE cacheable", _RAW, _SPLIT))(lambda s, sf: _split(s, sf)[0])
+
+
+@query("E5_bucketed_cache", K.sql("SELECT request_id, key, answer FROM ky JOIN ch USING (key) WHERE cacheable", _RAW, _SPLIT))
+def _from_buckets(s, sf):
+    """The answers kept in a bucketed folder, in two batches, and asked for again."""
+    path, known = f"{scratch(s)}/answers", cache_table(s, sf)
+    for half in (0, 1):
+        enrich.append_cache(known.filter(F.pmod(F.crc32("key"), F.lit(2)) == half), path, 8)
+    return enrich.split_cache(built(s, sf).filter("request is not null").select("request_id", "request"), enrich.open_cache(s, path), "m/one")[0]
+
+
 query("E5_cache_misses", K.sql("SELECT request_id, key, request FROM ms", _RAW, _SPLIT))(lambda s, sf: _split(s, sf)[1])
 
 

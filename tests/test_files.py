@@ -1,13 +1,15 @@
 """File formats: written by hand, read in parallel."""
 
+import hashlib
 import struct
 
 import numpy as np
 from helpers import noise, pixels, raster
 
-from pixelweave.operators import color
+from pixelweave.operators import color, enrich
 from pixelweave.sources import cloudio, generators, graphio, images, meshio
 from pixelweave.streaming import streams
+from pyspark.sql import functions as F
 
 
 def bmp(a):
@@ -94,3 +96,25 @@ def test_wide_histogram_drawing(spark):
     a[..., 3] = 255
     got = raster(generators.histogram_image(stats.histogram(pixels(spark, a)), 32, 16))[(1, 0)]
     assert got[0, 0].tolist() == [220, 220, 224, 255] and got[0, 31].tolist() == [20, 20, 24, 255]
+
+
+def test_cache_is_joined_where_it_lies(spark, tmp_path):
+    """A bucketed cache takes no shuffle in the join, keeps its rows over a reopening, and misses are sent once a key."""
+    path = f"{tmp_path}/it's answers"
+    known = [(hashlib.sha256(f'm|{{"seed":{k}}}'.encode()).hexdigest(), f"a{k}") for k in range(0, 40, 2)]
+    enrich.append_cache(spark.createDataFrame(known[:10], "key string, answer string"), path, 4)
+    enrich.append_cache(spark.createDataFrame([*known[10:], (None, "x"), ("y", None)], "key string, answer string"), path, 4)
+    spark.sql(f"DROP TABLE {enrich._cache_name(path)}")
+    cache = enrich.open_cache(spark, path, 4)
+    asked = [(k, f'{{"seed":{k % 30}}}') for k in range(60)] + [(100, '{"a":1}'), (101, '{"a":1}')]
+    requests = spark.createDataFrame(asked, "request_id long, request string")
+    hits, misses = enrich.split_cache(requests, cache, "m")
+    assert sorted((r.request_id, r.answer) for r in hits.collect()) == [(k, f"a{k % 30}") for k in range(60) if k % 2 == 0]
+    assert sorted((r.request_id, r.request) for r in misses.collect()) == [(k, f'{{"seed":{k}}}') for k in range(1, 30, 2)] + asked[-2:]
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = requests.withColumn("key", enrich.request_key(F.lit("m"), "request")).join(cache, "key", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan  # the requests' side alone is shuffled

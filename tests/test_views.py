@@ -171,3 +171,22 @@ def test_stride_keeps_exactly_the_budget(spark):
     t = cl.stride_sample(df, "g", "id", 37)
     assert sorted(r.id for r in t.collect()) == [math.floor(i * (1000 / 37)) for i in range(37)]
     assert t.first().dropped == 963
+
+
+def test_thousands_of_splats_on_one_pixel(spark):
+    """The fold by depth chunks equals the sequential blend, and nothing shows behind full opacity."""
+    rng, n = np.random.default_rng(3), 5000
+    alpha = rng.integers(1, 40, n)
+    alpha[700] = 255
+    cz = rng.permutation(n) / 7.0
+    rgb = rng.integers(0, 256, (n, 3))
+    rows = [(1, k, 0, float(cz[k]), *map(int, rgb[k]), int(alpha[k]), 0.0, 0.0, 0.0, 1, 0.5, 0.5, 0, 0, 0, 0) for k in range(n)]
+    names = "cloud_id long, splat_id long, view int, cz double, r int, g int, b int, a int, i00 double, i01 double, i11 double, radius int, sx_px double, sy_px double, x0 int, x1 int, y0 int, y1 int"
+    got = cl.composite_splats(spark.createDataFrame(rows, names)).collect()
+    light, left = np.zeros(5), 1.0
+    for k in np.argsort(-cz):
+        w = alpha[k] / 255.0 * left
+        light += w * np.array([*(rgb[k] / 255.0), 1.0, cz[k]])
+        left *= 1 - alpha[k] / 255.0
+    assert len(got) == 1 and left == 0.0
+    assert np.allclose([got[0][c] for c in ("pr", "pg", "pb", "alpha", "depth")], light, rtol=1e-9) and abs(got[0].alpha - 1) < 1e-9
