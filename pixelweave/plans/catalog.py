@@ -15,8 +15,9 @@ from . import (  # noqa: F401
 from . import registry
 from .registry import ORACLES  # noqa: F401
 
-# joins of two pixel tables are by far the longest comparisons: they come last
-QUERIES = dict(sorted(registry.QUERIES.items(), key=lambda q: "USING (image_id, frame, x, y)" in ORACLES.get(q[0], "")))
+# joins of two pixel tables, and results of millions of rows, are by far the longest comparisons: they come last
+LONG = ("Y2_shift_lut", "Z11_two_frame_flip", "Z11_flip_relief")
+QUERIES = dict(sorted(registry.QUERIES.items(), key=lambda q: q[0] in LONG or "USING (image_id, frame, x, y)" in ORACLES.get(q[0], "")))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -298,12 +298,11 @@ query("Y1_prepare_depth", K.sql(f"SELECT {K.OUT} FROM dp", K.PX, blur_sql("px",
 _SHIFT = lambda lv, ex, w: (
     f"CAST((-({ex})*(-((1e0-{lv}/255e0)*9e0+2e0))/(400e0-(-((1e0-{lv}/255e0)*9e0+2e0))))*({w}/20e0) AS FLOAT)")
 _SKW = dict(width_mm=20.0, distance=400.0, depth_mm=9.0, setback=2.0)
-# 256 levels for every eye of every setting: each table is summed up in one row
 query("Y2_shift_lut", K.sql(
-    f"SELECT cone_deg, views, distance_mm, eye, count(*) AS levels, min(shift) AS least, max(shift) AS most, sum(CAST(round(shift*1000) AS BIGINT))::BIGINT AS total FROM (SELECT *, {srnd(_SHIFT('level', 'ex', '64'), 3)} AS shift FROM "
-    f"(SELECT DISTINCT cone_deg, views, distance_mm, i::INTEGER AS eye, {_EO('i', 'views')} AS ex FROM (SELECT DISTINCT cone_deg, views, distance_mm FROM es), range(views) t(i)), range(256) u(level)) GROUP BY cone_deg, views, distance_mm, eye", _ES))(
-    lambda s, sf: vs.shift_lut(sw.eye_offsets(eye_settings(s, sf).select("cone_deg", "views", "distance_mm").distinct()).withColumn("w", F.lit(64)), **_SKW).withColumn("shift", rnd("shift", 3)).groupBy(
-        "cone_deg", "views", "distance_mm", "eye").agg(F.count("*").alias("levels"), F.min("shift").alias("least"), F.max("shift").alias("most"), F.sum(F.round(F.col("shift") * 1000).cast("long")).alias("total")))
+    f"SELECT cone_deg, views, distance_mm, eye, level::INTEGER AS level, {srnd(_SHIFT('level', 'ex', '64'), 3)} AS shift FROM (SELECT DISTINCT cone_deg, views, distance_mm, i::INTEGER AS eye, {_EO('i', 'views')} AS ex "
+    "FROM (SELECT DISTINCT cone_deg, views, distance_mm FROM es), range(views) t(i)), range(256) u(level)", _ES))(
+    lambda s, sf: vs.shift_lut(sw.eye_offsets(eye_settings(s, sf).select("cone_deg", "views", "distance_mm").distinct()).withColumn("w", F.lit(64)), **_SKW).select(
+        "cone_deg", "views", "distance_mm", "eye", "level", rnd("shift", 3).alias("shift")))
 EYES = [-70.0, -20.0, 0.0, 45.0]
 _MV = ("dp AS (SELECT image_id, frame, x, y, CAST(round_even(" + K.lum() + ", 0) AS INTEGER) AS ky FROM pxb), "
        f"mo AS (SELECT p.image_id, v AS view, p.w, p.h, p.y, p.x, ky, r, g, b, a, CAST(p.x::DOUBLE + {_SHIFT('ky', 'e', 'p.w')}::DOUBLE AS FLOAT) AS xs FROM px p JOIN dp USING (image_id, frame, x, y), "
