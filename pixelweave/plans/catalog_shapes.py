@@ -285,7 +285,7 @@ query("X9_depth_coverage", K.sql(f"SELECT image_id, frame, count(*) AS n_hit, {s
 query("X10_cloud_views", K.sql(_RES, *_XA))(lambda s, sf: cl.cloud_views(splats(s, sf), VIEW).select("image_id", "frame", "x", "y", "r", "g", "b"))
 
 # ---- S: files ------------------------------------------------------------------------------
-query("S2_write_read_pixels", K.sql(f"SELECT {K.OUTS} FROM px", K.PX))(lambda s, sf: (lambda path: (images.write_pixels(fx.px_embed(s, sf), path, 8), images.read_pixels(s, path))[1])(scratch(s)).select(*OUTS))
+query("S2_write_read_pixels", K.sql(f"SELECT {K.OUTS} FROM px", K.PX))(lambda s, sf: (lambda path: (images.write_pixels(fx.px_embed(s, sf), path), images.read_pixels(s, path))[1])(scratch(s)).select(*OUTS))
 query("S17_prompt_table", "SELECT doc_id, 'Describe this text.' AS text FROM documents")(
     lambda s, sf: images.prompt_table(fx.table(s, sf, "documents").select("doc_id"), "Describe this text."))
 

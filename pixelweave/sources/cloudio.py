@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.core import d, u8
 from ..schema import SPLAT_POS, SPLAT_QUAT, SPLAT_RADII
+from .files import byte_ranges, read_at
 
 SH_C0 = 0.28209479177387814  # fixed value: zeroth harmonic, 1 / (2 sqrt(pi))
 RECORD = 32  # bytes of one flat splat record
+ROWS_PER_BATCH = 1 << 16  # records decoded at a time
 
 
 def _unit(x: Column, y: Column, z: Column, w: Column) -> list[Column]:
@@ -19,11 +21,15 @@ def _unit(x: Column, y: Column, z: Column, w: Column) -> list[Column]:
 
 
 def read_splats(spark: SparkSession, path: str) -> DataFrame:
-    """(splat_id, position, radii, quaternion, colour) of flat 32-byte records.
+    """(file, splat_id, position, radii, quaternion, colour) of flat 32-byte records; splats are numbered from 0 in each file.
 
-    ``binaryRecords`` splits a file at record borders, so one file of any size is read in parallel;
-    records are decoded a batch at a time.
+    Tasks read ranges of records (``byte_ranges``), so one file of any size is read in parallel.
     """
+    return decode_splats(byte_ranges(spark, path, 0, RECORD))
+
+
+def decode_splats(ranges: DataFrame) -> DataFrame:
+    """The splats in ranges(file, first, n)."""
     import numpy as np
     import pandas as pd
 
@@ -31,18 +37,18 @@ def read_splats(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches):
         for pdf in batches:
-            a = np.frombuffer(b"".join(pdf["rec"]), rec)
-            q = (a["q"].astype("f8") - 128) / 128
-            cols = {n: a["p"][:, i].astype("f8") for i, n in enumerate(SPLAT_POS)} | {n: a["s"][:, i].astype("f8") for i, n in enumerate(SPLAT_RADII)}
-            cols |= {n: q[:, i] for n, i in (("qw", 0), ("qx", 1), ("qy", 2), ("qz", 3))} | {n: a["c"][:, i].astype("i4") for i, n in enumerate("rgba")}
-            yield pd.DataFrame({"splat_id": pdf["splat_id"].to_numpy(), **cols})
-
-    rows = spark.sparkContext.binaryRecords(path, RECORD).zipWithIndex()
-    raw = spark.createDataFrame(rows, "rec binary, splat_id long")
-    types = "splat_id long, " + ", ".join(f"{c} double" for c in SPLAT_POS + SPLAT_RADII + SPLAT_QUAT) + ", r int, g int, b int, a int"
-    t = raw.mapInPandas(decode, types)
+            for file, first, n in zip(pdf["file"], pdf["first"], pdf["n"]):
+                for i in range(first, first + n, ROWS_PER_BATCH):
+                    a = np.frombuffer(read_at(file, i * RECORD, min(ROWS_PER_BATCH, first + n - i) * RECORD), rec)
+                    q = (a["q"].astype("f8") - 128) / 128
+                    cols = {n: a["p"][:, k].astype("f8") for k, n in enumerate(SPLAT_POS)} | {n: a["s"][:, k].astype("f8") for k, n in enumerate(SPLAT_RADII)}
+                    cols |= {n: q[:, k] for n, k in (("qw", 0), ("qx", 1), ("qy", 2), ("qz", 3))} | {n: a["c"][:, k].astype("i4") for k, n in enumerate("rgba")}
+                    yield pd.DataFrame({"file": file, "splat_id": np.arange(i, i + len(a)), **cols})
+
+    types = "file string, splat_id long, " + ", ".join(f"{c} double" for c in SPLAT_POS + SPLAT_RADII + SPLAT_QUAT) + ", r int, g int, b int, a int"
+    t = ranges.mapInPandas(decode, types)
     q = _unit(*[F.col(c) for c in SPLAT_QUAT])
-    return t.select("splat_id", *SPLAT_POS, *SPLAT_RADII, *q, *"rgba")
+    return t.select("file", "splat_id", *SPLAT_POS, *SPLAT_RADII, *q, *"rgba")
 
 
 def decode_ply_columns(raw: DataFrame) -> DataFrame:

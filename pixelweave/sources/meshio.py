@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.core import jsround
 from ..operators.mesh import face_normal
 from ..schema import TRI
+from .files import byte_ranges, read_at
 from .lines import read_lines, running
 
+HEAD, FACET = 84, 50  # bytes before the facets of a binary file, and of each
+ROWS_PER_BATCH = 1 << 16  # facets decoded at a time
+
 # fixed values: a number inside mesh text
 NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
@@ -66,8 +70,13 @@ def read_ascii_stl(spark: SparkSession, path: str) -> DataFrame:
 def read_binary_stl(spark: SparkSession, path: str) -> DataFrame:
     """(file, tri_id, ax..cz): 84-byte header, then 50-byte facets; the smaller of declared and present counts.
 
-    A file is one row of bytes (Spark's limit of 2 GB per file); a corpus spreads over its files.
+    Tasks read ranges of facets (``byte_ranges``), each with the declared count from its file's header.
     """
+    return decode_facets(byte_ranges(spark, path, HEAD, FACET))
+
+
+def decode_facets(ranges: DataFrame) -> DataFrame:
+    """The triangles in ranges(file, first, n)."""
     import numpy as np
     import pandas as pd
 
@@ -75,17 +84,13 @@ def read_binary_stl(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches):
         for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                if len(content) < 84:
-                    continue
-                n = min(int.from_bytes(content[80:84], "little"), (len(content) - 84) // 50)
-                v = np.frombuffer(content, rec, n, 84)["v"].astype("f8")
-                for i in range(0, n, 100_000):
-                    part = v[i:i + 100_000]
-                    yield pd.DataFrame({"file": file, "tri_id": np.arange(i, i + len(part)), **{c: part[:, k] for k, c in enumerate(TRI)}})
-
-    src = spark.read.format("binaryFile").load(path).select("path", "content")
-    return src.mapInPandas(decode, "file string, tri_id long, " + ", ".join(f"{c} double" for c in TRI))
+            for file, first, n in zip(pdf["file"], pdf["first"], pdf["n"]):
+                end = min(first + n, int.from_bytes(read_at(file, HEAD - 4, 4), "little"))
+                for i in range(first, end, ROWS_PER_BATCH):
+                    v = np.frombuffer(read_at(file, HEAD + i * FACET, min(ROWS_PER_BATCH, end - i) * FACET), rec)["v"].astype("f8")
+                    yield pd.DataFrame({"file": file, "tri_id": np.arange(i, i + len(v)), **{c: v[:, k] for k, c in enumerate(TRI)}})
+
+    return ranges.mapInPandas(decode, "file string, tri_id long, " + ", ".join(f"{c} double" for c in TRI))
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from helpers import noise, pixels, raster
 
 from pixelweave.operators import color, enrich
-from pixelweave.sources import cloudio, generators, graphio, images, meshio
+from pixelweave.sources import cloudio, files, generators, graphio, images, meshio
 from pixelweave.streaming import streams
 from pyspark.sql import functions as F
 
@@ -28,12 +28,51 @@ def test_read_images(spark, tmp_path):
     assert (im.first().w, im.first().h) == (7, 5)
     im, p = images.read_images(spark, str(tmp_path), 3)
     assert next(iter(raster(p).values())).shape == (2, 3, 4) and im.first().w == 3
-
-
-def test_pixels_at_rest(spark, tmp_path):
-    a = noise(6, 4, 2)
-    images.write_pixels(pixels(spark, a), str(tmp_path / "px"), 4)
-    assert (raster(images.read_pixels(spark, str(tmp_path / "px")))[(1, 0)] == a).all()
+    (tmp_path / "two.bmp").write_bytes(b"BM no picture")
+    for most in (0, 3):
+        im, p = images.read_images(spark, str(tmp_path), most)
+        told = {r.origin[-7:]: (r.readable, r.w is None) for r in im.collect()}
+        assert told == {"one.bmp": (True, False), "two.bmp": (False, True)} and len(raster(p)) == 1
+
+
+def test_pixels_at_rest(spark, tmp_path, monkeypatch):
+    """Pixels come back, in files sized from the data, and a crop meets few of their footers."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(images, "TILE", 4)
+    a, b = noise(64, 48, 2), noise(3, 5, 3)
+    images.write_pixels(pixels(spark, a).union(pixels(spark, b, 2)), str(tmp_path / "px"), 128)
+    back = raster(images.read_pixels(spark, str(tmp_path / "px")))
+    assert (back[(1, 0)] == a).all() and (back[(2, 0)] == b).all()
+    x0, y0, x1, y1 = box = (20, 30, 28, 38)
+    crop = images.read_pixels(spark, str(tmp_path / "px"), box).collect()
+    assert len(crop) == 64 and all((r.r, r.a) == (a[r.y, r.x, 0], a[r.y, r.x, 3]) for r in crop)
+    met, parts = 0, list((tmp_path / "px").glob("part-*"))
+    for f in parts:
+        g = pq.ParquetFile(f).metadata.row_group(0)
+        at = {g.column(k).path_in_schema: g.column(k).statistics for k in range(g.num_columns)}
+        met += at["x"].min < x1 and at["x"].max >= x0 and at["y"].min < y1 and at["y"].max >= y0
+    assert len(parts) > 15 and met * 2 < len(parts)
+
+
+def test_one_large_file_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    """A file of 3 GB is many ranges, the last of which is read alone; small ranges give the same rows as one."""
+    big = tmp_path / "big.splat"
+    with open(big, "wb") as f:
+        f.truncate(3 << 30)
+        f.seek((3 << 30) - 32)
+        f.write(struct.pack("<6f8B", *range(6), 1, 2, 3, 4, 255, 128, 128, 128))
+    ranges = files.byte_ranges(spark, str(big), 0, 32)
+    assert ranges.count() == 48 and ranges.rdd.getNumPartitions() == 48
+    last = cloudio.decode_splats(ranges.filter(f"first + n = {(3 << 30) // 32}")).filter("g = 2").collect()
+    assert [(r.splat_id, r.px, r.sz) for r in last] == [((3 << 30) // 32 - 1, 0.0, 5.0)]
+    monkeypatch.setattr(files, "RANGE", 150)
+    facets = [struct.pack("<12fH", 0, 0, 1, *[k] * 9, 0) for k in range(20)]
+    for name, declared in (("a", 20), ("b", 4)):
+        (tmp_path / f"{name}.stl").write_bytes(b"x" * 80 + struct.pack("<I", declared) + b"".join(facets) + b"rest")
+    (tmp_path / "c.stl").write_bytes(b"short")
+    got = sorted((r.file[-5], r.tri_id, r.ax) for r in meshio.read_binary_stl(spark, str(tmp_path / "*.stl")).collect())
+    assert got == [("a", k, k) for k in range(20)] + [("b", k, k) for k in range(4)]
 
 
 def test_flat_splat_records(spark, tmp_path):
