@@ -66,8 +66,8 @@ class Block:
 def top_products(images: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, image_id, score``: the k largest integer inner products of every query.
 
-    ``images(image_id, levels)`` and ``queries(image_id, levels)`` hold arrays of integers of one length. A
-    query's own id is no candidate; ties go to the smaller ``image_id``; with fewer candidates than k
+    ``images(image_id, levels)`` and ``queries(image_id, levels)`` hold arrays of integers; of two lengths, the shorter one counts
+    as if zeros followed. A query's own id is no candidate; ties go to the smaller ``image_id``; with fewer candidates than k
     all are returned. Exact: the candidates are dealt to blocks of bounded size by a hash of their id, queries to
     packs, and every pack meets every block, first one block (its k-th score is a floor for the rest), then the
     others, which return only what reaches the floor.
@@ -88,16 +88,27 @@ def top_products(images: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     rows = cut(rows)
     asked = cut(asked.withColumn("pack", F.pmod(F.xxhash64("image_id"), F.lit(packs)).cast("int")))
 
-    def matrix(column) -> np.ndarray:
+    def arrays(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = column.combine_chunks()
-        flat = a.flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(a), -1) if len(a) else np.zeros((0, 0), dtype=np.int64)
+        at = a.offsets.to_numpy()
+        return a.values.to_numpy(zero_copy_only=False), at[:-1].astype(np.int64), np.diff(at).astype(np.int64)
+
+    def matrix(values: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """One row an array, cut or filled with zeros to ``width``."""
+        out = np.zeros((len(size), width), dtype=np.int64)
+        size = np.minimum(size, width)
+        row = np.repeat(np.arange(len(size)), size)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        out[row, col] = values[start[row] + col]
+        return out
 
     def search(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            levels, asked = matrix(left.column("levels")), matrix(right.column("levels"))
-            reach = float(np.abs(levels.astype(float)).max()) * float(np.abs(asked.astype(float)).sum(axis=1).max())
+            mine, theirs = arrays(left.column("levels")), arrays(right.column("levels"))
+            width = int(min(mine[2].max(), theirs[2].max()))  # beyond the longest of either side all products are zero
+            levels, asked = matrix(*mine, width), matrix(*theirs, width)
+            reach = float(np.abs(levels.astype(float)).max(initial=0)) * float(np.abs(asked.astype(float)).sum(axis=1).max(initial=0))
             kind = np.float64 if reach < EXACT else np.int64
             block = Block(left.column("image_id").to_numpy(), levels.astype(kind))
             floors = right.column("floor").to_pylist()

@@ -150,3 +150,23 @@ def test_links(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or method), r.url
     assert url_filter.filter_links(df.limit(0), []).count() == 0
     assert {r.verdict for r in url_filter.filter_links(df, [], ()).collect()} == {"allow", "block"}
+
+
+def test_topk_of_unequal_lengths(spark):
+    """A shorter array counts as if zeros followed, empty ones too; no row is mixed with another."""
+    rng = random.Random(12)
+    rows = [(i, [rng.randrange(-9, 10) for _ in range(rng.choice([0, 1, 3, 4, 4, 4, 9]))]) for i in range(400)] + [(400, [5, 0, 0]), (401, [9] * 5000), (500, [1] * 5000)]
+    t = spark.createDataFrame(rows, "image_id long, levels array<long>")
+    got = {(r.query_id, r.rank): (r.image_id, r.score) for r in topk.top_products(t, t.filter("image_id % 50 = 0"), 6).collect()}
+    for q, v in rows:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:6]
+            assert [got[q, k + 1] for k in range(6)] == [(i, -s) for s, i in scores]
+
+
+def test_neighbours_keep_the_commonest_length(spark):
+    rng = np.random.default_rng(4)
+    good = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    t = spark.createDataFrame([*good, (70, [1.0, 2.0, 3.0, 4.0]), (71, [1.0]), (72, [])], "image_id long, signature array<double>")
+    got = neighbours.nearest_images(t, t.select("image_id"), 3).collect()
+    assert {r.query_id for r in got} == set(range(60)) == {r.image_id for r in got} | set(range(60)) and len(got) == 180
