@@ -25,13 +25,13 @@ CAND = "node long, nbr long, score float"
 
 
 def usable(images: DataFrame) -> DataFrame:
-    """Rows whose vector can be compared: no null, no non-finite component, not zero, of the longest length."""
+    """Rows whose vector can be compared: no null, no non-finite component, not zero, of the commonest length (of several, the shortest)."""
     v = F.col("signature")
     t = images.select("image_id", v.cast("array<double>").alias("signature")).filter(F.col("image_id").isNotNull() & v.isNotNull())
     bad = F.exists("signature", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     t = t.filter(~bad & F.exists("signature", lambda x: x != 0))
-    dims = t.agg(F.max(F.size("signature"))).first()[0] or 0
-    return t.filter(F.size("signature") == dims)
+    dims = t.groupBy(F.size("signature").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return t.filter(F.size("signature") == (dims["n"] if dims else 0))
 
 
 def matrix(column, kind=np.float64) -> np.ndarray:
@@ -231,7 +231,7 @@ def nearest_images(images: DataFrame, queries: DataFrame, k: int = 5, width: int
     Equal vectors are one node of the graph with its k + 1 smallest ids: no other can be among k answers. So a vector that
     a third of all rows share costs one node.
 
-    Vectors that are null, zero, hold a null or non-finite component, or are shorter than the longest take no part,
+    Vectors that are null, zero, hold a null or non-finite component, or are not of the commonest length take no part,
     nor do null ids; repeated rows (one id, one vector) count once; queries that name no usable row give no
     rows, nor does an empty table; other columns are ignored.
     """
