@@ -120,6 +120,8 @@ def assign_shards(texts: DataFrame, shards: int = 24, seed: int = 1, carry: tupl
     text = F.coalesce(F.col("text"), F.lit(""))
     extra = [c for c in carry if c not in ("node_id", "size", "text_crc32", "row_no", "shard", "slot")]
     t = texts.select("node_id", *extra, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_hash"))
+    if not extra:
+        t = cut(t)  # the range bounds are sampled from it, so texts are read once
     t, n = number_rows(t, ["node_id", "text_crc32", "_hash"], "row_no")
     t = t.drop("_hash")
     if n == 0:
