@@ -262,6 +262,13 @@ def _t2(s, sf):
     return streams.latest_counts(s, f"{base}/out")
 
 
+@query("T2_closed_histograms", K.sql("SELECT image_id, frame, channel, bin, n FROM hi", K.PX, HIST.format("px")))
+def _t2_closed(s, sf):
+    base = scratch(s)
+    streams.stream_closed_histograms(streams.read_pixel_stream(s, landed_pixels(s, sf), 3), f"{base}/out", f"{base}/cp").awaitTermination()
+    return s.read.parquet(f"{base}/out").filter("complete").drop("complete")
+
+
 def run_log(s, sf):
     """Every event is a run of its user's node, started at the version of its time."""
     e = fx.table(s, sf, "events")

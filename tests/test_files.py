@@ -2,6 +2,8 @@
 
 import hashlib
 import struct
+import time
+from functools import reduce
 
 import numpy as np
 from helpers import noise, pixels, raster
@@ -157,3 +159,40 @@ def test_cache_is_joined_where_it_lies(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan  # the requests' side alone is shuffled
+
+
+def test_images_close_when_their_pixels_are_complete(spark, tmp_path):
+    """Pixels of three images over several batches: each complete one comes out once and is forgotten, the rest waits for its timer."""
+    from pixelweave.operators import stats
+
+    p = reduce(lambda a, b: a.union(b), [pixels(spark, noise(6, 5, k), k) for k in range(3)])
+    late = (F.col("image_id") == 2) & (F.col("y") == 5)
+    p.filter(~late).repartition(4).write.parquet(str(tmp_path / "in"))
+    run = lambda: streams.stream_closed_histograms(streams.read_pixel_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(100)
+    key = lambda df: sorted(map(tuple, df.select("image_id", "channel", "bin", "n").collect()))
+    assert run()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.filter("not complete").isEmpty() and key(got) == key(stats.histogram(p.filter("image_id < 2")))
+    p.filter(late).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run()
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(stats.histogram(p))  # nothing came out twice
+
+
+def test_an_incomplete_image_is_closed_by_its_timer(spark, tmp_path):
+    from pixelweave.operators import stats
+
+    p = pixels(spark, noise(4, 4, 1)).filter("y < 3")
+    p.coalesce(1).write.parquet(str(tmp_path / "in"))
+    pixels(spark, noise(2, 2, 5), 9).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.read.schema("image_id long, frame int, channel string, bin int, n long, complete boolean").parquet(str(tmp_path / "out"))
+    q = streams.stream_closed_histograms(streams.read_pixel_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp"), 1)
+    try:
+        for _ in range(100):
+            time.sleep(0.5)
+            if (tmp_path / "out" / "_spark_metadata").exists() and read().select("image_id").distinct().count() == 2:
+                break
+    finally:
+        q.stop()
+    got = read()
+    key = lambda df: sorted(map(tuple, df.select("image_id", "channel", "bin", "n").collect()))
+    assert key(got.filter("not complete")) == key(stats.histogram(p)) and {r.image_id for r in got.filter("complete").collect()} == {9}
