@@ -18,6 +18,7 @@ from .stats import mesh_bounds
 from .sweep import MAX_POPOUT, eye_offset
 
 TILE = 64  # side of the screen tiles a large triangle is cut into before it is expanded
+CELL = 8  # side of a tile's cells, each with a nearness that triangles behind it are held against
 
 
 def triangle(*pts: tuple[Column, Column, Column]) -> Column:
@@ -231,42 +232,144 @@ def raster_size(width_px: float, width_mm: float, height_mm: float, supersample:
     return w, max(1, math.floor(width_px * height_mm / max(0.01, width_mm) + 0.5)) * ss, ss
 
 
-def rasterize(tris: DataFrame, eyes: list[tuple[float, float]], width_px=64, width_mm=100.0, height_mm=100.0, distance=400.0, z_offset=0.0,
-              supersample=1, shading: Shading = Shading(), texture: DataFrame | None = None) -> DataFrame:
-    """(image_id, frame, w, h, x, y, r, g, b, a, t) of fitted triangles; frame is the eye, t the nearness (0 = nothing).
+def _weights(px: Column, py: Column) -> tuple[Column, Column, Column]:
+    """Shares of the three corners at a point of the screen; all are 0 or more inside."""
+    inv = d(1) / F.col("_area")
+    w0 = ((F.col("s1") - px) * (F.col("q2") - py) - (F.col("q1") - py) * (F.col("s2") - px)) * inv
+    w1 = ((F.col("s2") - px) * (F.col("q0") - py) - (F.col("q2") - py) * (F.col("s0") - px)) * inv
+    return w0, w1, d(1) - w0 - w1
 
-    ``tris`` comes from ``fit_mesh``; it may carry ``rgb`` (nine vertex bytes) or ``uv`` (six numbers,
-    used with a ``texture`` raster whose image_id is the mesh).  The nearest triangle wins, the
-    earliest one on ties.
-    """
-    w, h, _ = raster_size(width_px, width_mm, height_mm, supersample)
+
+def project_triangles(tris: DataFrame, eyes: list[tuple[float, float]], w: int, h: int, width_mm: float, height_mm: float, distance: float, z_offset: float,
+                      shading: Shading) -> DataFrame:
+    """Triangles of ``fit_mesh`` as each eye sees them: corners ``s, q`` in pixels with nearness ``t``, light, box of pixels."""
     dist = max(1e-6, distance)
-    table = F.array(*[F.struct(F.lit(i).alias("view"), d(ex).alias("ex"), d(ey).alias("ey")) for i, (ex, ey) in enumerate(eyes)])
+    table = F.array(*[F.struct(F.lit(i).alias("view"), d(ex).alias("_ex"), d(ey).alias("_ey")) for i, (ex, ey) in enumerate(eyes)])
     amb = min(1.0, max(0.0, shading.ambient))
     n = face_normal()
     lv = light_vector(shading)
-    extra = [c for c in ("uv", "rgb") if c in tris.columns]
     t = tris.withColumn("_df", d(amb) + F.abs(n[0] * lv[0] + n[1] * lv[1] + n[2] * lv[2]) * (1 - amb))
-    t = t.withColumn("_e", F.explode(table))
+    t = t.select("*", F.inline(table))
     kx, ky = w / max(0.01, width_mm), h / max(0.01, height_mm)
     cols = {}
     for i, v in enumerate("abc"):
-        x, y, near = project_to_sheet(F.col(f"{v}x"), F.col(f"{v}y"), F.col(f"{v}z") * F.col("zscale") + z_offset, F.col("_e.ex"), F.col("_e.ey"), dist)
+        x, y, near = project_to_sheet(F.col(f"{v}x"), F.col(f"{v}y"), F.col(f"{v}z") * F.col("zscale") + z_offset, F.col("_ex"), F.col("_ey"), dist)
         cols |= {f"s{i}": x * kx + w / 2, f"q{i}": d(h / 2) - y * ky, f"t{i}": near}
-    t = t.withColumns(cols).filter("t0 > 0 and t1 > 0 and t2 > 0")
+    extra = [c for c in ("uv", "rgb") if c in tris.columns]
+    # Rows of one struct: filters on the corners are not rewritten into filters on the whole projection.
+    corners = F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()])))
+    t = t.select("mesh_id", "tri_id", "view", "_df", *extra, corners).filter("t0 > 0 and t1 > 0 and t2 > 0")
     area = (F.col("s1") - F.col("s0")) * (F.col("q2") - F.col("q0")) - (F.col("q1") - F.col("q0")) * (F.col("s2") - F.col("s0"))
     t = t.withColumn("_area", area).filter("_area <> 0")
     clip = lambda f, n, e: F.greatest(F.lit(0), F.floor(F.least(*e)).cast("int")) if f else F.least(F.lit(n - 1), F.ceil(F.greatest(*e)).cast("int"))
     t = t.withColumns({"x0": clip(True, w, ["s0", "s1", "s2"]), "x1": clip(False, w, ["s0", "s1", "s2"]),
                        "y0": clip(True, h, ["q0", "q1", "q2"]), "y1": clip(False, h, ["q0", "q1", "q2"])}).filter("x0 <= x1 and y0 <= y1")
-    keep = ["mesh_id", "tri_id", F.col("_e.view").alias("view"), "_df", "_area", *[f"{a}{i}" for i in range(3) for a in "sqt"], "x0", "x1", "y0", "y1", *extra]
-    t = tiles(t.select(*keep), ["mesh_id", "tri_id", "view"])
-    px, py = d("x") + 0.5, d("y") + 0.5
+    reach = F.greatest(*[F.abs(f"{a}{i}") for i in range(3) for a in "sq"], d(max(w, h)))
+    more = {"_m": reach * reach / F.abs("_area") * 1e-13, "_top": F.greatest("t0", "t1", "t2")}
     inv = d(1) / F.col("_area")
-    t = t.withColumns({
-        "_w0": ((F.col("s1") - px) * (F.col("q2") - py) - (F.col("q1") - py) * (F.col("s2") - px)) * inv,
-        "_w1": ((F.col("s2") - px) * (F.col("q0") - py) - (F.col("q2") - py) * (F.col("s0") - px)) * inv,
-    })
+    more |= {"_gx0": (F.col("q1") - F.col("q2")) * inv, "_gy0": (F.col("s2") - F.col("s1")) * inv, "_gx1": (F.col("q2") - F.col("q0")) * inv, "_gy1": (F.col("s0") - F.col("s2")) * inv}
+    keep = ["mesh_id", "tri_id", "view", "_df", "_area", *[f"{a}{i}" for i in range(3) for a in "sqt"], "x0", "x1", "y0", "y1", *extra]
+    return t.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in more.items()]))))
+
+
+def _in_tiles(t: DataFrame) -> DataFrame:
+    """One row per triangle and tile that its box meets, spread over all tasks."""
+    t = t.withColumn("_ty", F.explode(F.sequence(idiv("y0", TILE), idiv("y1", TILE))))
+    t = t.withColumn("_tx", F.explode(F.sequence(idiv("x0", TILE), idiv("x1", TILE))))
+    return t.repartition("mesh_id", "tri_id", "view", "_ty", "_tx")
+
+
+def _in_cells(t: DataFrame, w: int, h: int) -> DataFrame:
+    """Cells of a tile that a triangle may touch, ``_xa .. _xb, _ya .. _yb``.
+
+    Weights and nearness are linear on the screen, so the corners of a cell bound them (``_bound``). ``_m`` bounds the
+    rounding of a weight; triangles too thin for such a bound (``_m`` of 0.5 or more) keep every cell.
+    """
+    for a in "yx":
+        lo = F.greatest(F.col(f"{a}0"), F.col(f"_t{a}") * TILE)
+        hi = F.least(F.col(f"{a}1"), F.col(f"_t{a}") * TILE + (TILE - 1))
+        t = t.withColumn(f"_c{a}", F.explode(F.sequence(F.floor(lo / CELL).cast("int"), F.floor(hi / CELL).cast("int"))))
+    box = {f"_{a}a": F.col(f"_c{a}") * CELL for a in "xy"} | {f"_{a}b": F.least(F.col(f"_c{a}") * CELL + (CELL - 1), F.lit(n - 1)) for a, n in (("x", w), ("y", h))}
+    t = t.withColumns(box)
+    w0, w1, _ = _weights(d("_xa") + 0.5, d("_ya") + 0.5)
+    t = t.select("*", F.inline(F.array(F.struct(w0.alias("_b0"), w1.alias("_b1")))))
+    return t.filter((F.col("_m") >= 0.5) | (F.least(*[_bound(k, F.greatest) for k in range(3)]) >= -F.col("_m")))
+
+
+def _linear(k: int | str) -> tuple[Column, Column, Column]:
+    """Value at a cell's first pixel and slopes: of weight k, or of the nearness ("t")."""
+    if k == "t":
+        parts = [_linear(i) for i in range(3)]
+        return tuple(sum((p[j] * F.col(f"t{i}") for i, p in enumerate(parts)), d(0)) for j in range(3))
+    if k == 2:
+        return d(1) - F.col("_b0") - F.col("_b1"), -F.col("_gx0") - F.col("_gx1"), -F.col("_gy0") - F.col("_gy1")
+    return F.col(f"_b{k}"), F.col(f"_gx{k}"), F.col(f"_gy{k}")
+
+
+def _bound(k: int | str, side) -> Column:
+    """Least (``F.least``) or greatest (``F.greatest``) value over a cell's pixels."""
+    base, gx, gy = _linear(k)
+    return base + side(d(0), gx * (F.col("_xb") - F.col("_xa"))) + side(d(0), gy * (F.col("_yb") - F.col("_ya")))
+
+
+def _slack() -> Column:
+    """A bound of the rounding of a nearness."""
+    return (F.col("_m") * 4 + 1e-12) * F.col("_top")
+
+
+def cell_floors(t: DataFrame, w: int, h: int) -> DataFrame:
+    """(mesh_id, view, _ty, _tx, floors): per tile a map from cell to a nearness that every pixel of the cell is sure to reach.
+
+    Only triangles of at least four cells' area count. One that fills a cell gives its least nearness there. Where
+    several meet, each pixel takes the greatest nearness and the cell the least of its pixels, if all are filled: the
+    levels are tile, cell, pixel, and pixels are made only along the edges of large triangles.
+    """
+    cell = ["mesh_id", "view", "_ty", "_tx", "_cy", "_cx"]
+    big = _in_cells(_in_tiles(t.filter(F.abs("_area") >= 8 * CELL * CELL)), w, h).filter("_m < 0.5")
+    inside = F.least(*[_bound(k, F.least) for k in range(3)]) >= F.col("_m")
+    whole = big.filter(inside).select(*cell, (_bound("t", F.least) - _slack()).alias("floor"))
+    edge = big.filter(~inside)
+    edge = edge.withColumn("y", F.explode(F.sequence("_ya", "_yb"))).withColumn("x", F.explode(F.sequence("_xa", "_xb")))
+    w0, w1, w2 = _weights(d("x") + 0.5, d("y") + 0.5)
+    edge = edge.withColumns({"_w0": w0, "_w1": w1, "_w2": w2}).filter(F.least("_w0", "_w1", "_w2") >= 0)  # as pixels are decided
+    near = F.col("_w0") * F.col("t0") + F.col("_w1") * F.col("t1") + F.col("_w2") * F.col("t2") - _slack()
+    n = ((F.col("_xb") - F.col("_xa") + 1) * (F.col("_yb") - F.col("_ya") + 1)).alias("_n")
+    edge = edge.select(*cell, n, "x", "y", near.alias("floor")).groupBy(*cell, "_n", "x", "y").agg(F.max("floor").alias("floor"))
+    full = edge.groupBy(*cell, "_n").agg(F.min("floor").alias("floor"), F.count("*").alias("_k")).filter("_k = _n")
+    best = whole.union(full.select(*cell, "floor")).groupBy(*cell).agg(F.max("floor").alias("floor"))
+    entry = F.struct((F.col("_cy") * (1 << 24) + F.col("_cx")).alias("k"), "floor")
+    return best.groupBy(*cell[:4]).agg(F.map_from_entries(F.collect_list(entry)).alias("floors"))  # at most one entry a cell
+
+
+def visible_cells(t: DataFrame, w: int, h: int) -> DataFrame:
+    """Cells of ``project_triangles`` rows in which something of the triangle may be seen.
+
+    A cell is left out if the triangle misses it, or if all of it there is farther than the cell's floor; at equal
+    nearness it stays, so ties are decided as without the floors. Floors have one row per tile of a view.
+    """
+    key = ["mesh_id", "view", "_ty", "_tx"]
+    c = _in_cells(_in_tiles(t).join(cell_floors(t, w, h), key, "left"), w, h)
+    floor = F.try_element_at("floors", F.col("_cy") * (1 << 24) + F.col("_cx"))
+    hidden = (F.col("_m") < 0.5) & (F.least(_bound("t", F.greatest), F.col("_top")) + _slack() < floor)
+    return c.filter(~F.coalesce(hidden, F.lit(False))).drop("floors", "_ty", "_tx", "_b0", "_b1")
+
+
+def rasterize(tris: DataFrame, eyes: list[tuple[float, float]], width_px=64, width_mm=100.0, height_mm=100.0, distance=400.0, z_offset=0.0,
+              supersample=1, shading: Shading = Shading(), texture: DataFrame | None = None) -> DataFrame:
+    """(image_id, frame, w, h, x, y, r, g, b, a, t) of fitted triangles; frame is the eye, t the nearness (0 = nothing).
+
+    ``tris`` comes from ``fit_mesh``; it may carry ``rgb`` (nine vertex bytes) or ``uv`` (six numbers,
+    used with a ``texture`` raster whose image_id is the mesh).  The nearest triangle wins, the
+    earliest one on ties.  What large triangles hide is dropped cell by cell before pixels are made.
+    """
+    w, h, _ = raster_size(width_px, width_mm, height_mm, supersample)
+    extra = [c for c in ("uv", "rgb") if c in tris.columns]
+    t = project_triangles(tris, eyes, w, h, width_mm, height_mm, distance, z_offset, shading)
+    t = visible_cells(t, w, h)
+    for a in "yx":
+        t = t.withColumn(a, F.explode(F.sequence(F.greatest(f"{a}0", f"_{a}a"), F.least(f"{a}1", f"_{a}b"))))
+    w0, w1, _ = _weights(d("x") + 0.5, d("y") + 0.5)
+    t = t.withColumns({"_w0": w0, "_w1": w1})
     t = t.withColumn("_w2", d(1) - F.col("_w0") - F.col("_w1")).filter("_w0 >= 0 and _w1 >= 0 and _w2 >= 0")
     t = t.withColumns({"_p0": F.col("_w0") * F.col("t0"), "_p1": F.col("_w1") * F.col("t1"), "_p2": F.col("_w2") * F.col("t2")})
     t = t.withColumn("_t", F.col("_p0") + F.col("_p1") + F.col("_p2"))
