@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,15 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def hand_back() -> None:
+    """Called where a Python task ends: workers are used again, and what the task has freed would stay theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def prefix_sums(df: DataFrame, group: str, key: Column, order: list[str], value: str, rows: int, out: str) -> DataFrame:
     """Adds ``out``: the total of ``value`` over the rows of the same ``group`` that come earlier.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import cut
-from .common import connected
+from .common import connected, hand_back
 from .line_dedup import need
 from .simhash import roots
 
@@ -63,6 +63,8 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
             keys = np.concatenate([np.zeros(0, dtype="<u8"), *map(band_keys, sets)]).view("<i8")
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node_id"), pa.array(same, pa.int64()), keys], names=["node_id", "same", "keys"])
+            del sets, same, keys
+        hand_back()
 
     return texts.select("node_id", "text").mapInArrow(run, "node_id long, same long, keys array<long>")
 
@@ -73,6 +75,8 @@ def sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         for b in batches:
             sets = [shingle_set(t.as_py(), width).view("<i8") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+            del sets
+        hand_back()
 
     return texts.select(F.col("node_id").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, s array<long>")
 

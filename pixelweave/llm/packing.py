@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import cut
-from .common import prefix_sums
+from .common import hand_back, prefix_sums
 
 PIECES = "node_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -19,16 +19,12 @@ PIECES = "node_id {id}, piece int, start long, length long, ids_crc32 long"
 class Tokens:
     """Ids of texts by a byte-level BPE given as a tokenizer file.
 
-    The same vocabulary as ranks gives the same ids several times faster; texts that name a special
-    token go to the tokenizer itself, which alone knows how it reads them.
+    The same vocabulary as ranks gives the same ids several times faster; texts that name one of the
+    ``special`` tokens go to the tokenizer itself, which alone knows how it reads them and is loaded at the first such text.
     """
 
-    def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(tokenizer)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+    def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None, special: list[str]):
+        self.file, self.special, self.slow, self.fast = tokenizer, special, None, None
         if ranks is not None:
             import base64
 
@@ -39,6 +35,10 @@ class Tokens:
 
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.file)
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -49,8 +49,12 @@ def cut_pieces(texts: DataFrame, tokenizer: str, ranks: str | None, pattern: str
     A text of more than ``size`` ids is cut from its end into whole pieces, so only its first piece may be
     shorter. The checksum is CRC-32 over the ids as little-endian unsigned 32-bit numbers.
     """
+    from tokenizers import Tokenizer
+
+    special = [t.content for t in Tokenizer.from_file(tokenizer).get_added_tokens_decoder().values()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokens(tokenizer, ranks, pattern)
+        tok = Tokens(tokenizer, ranks, pattern, special)
         for b in batches:
             rows: list[list[int]] = [[], [], [], [], []]
             for k, text in enumerate(b.column("text")):
@@ -63,6 +67,8 @@ def cut_pieces(texts: DataFrame, tokenizer: str, ranks: str | None, pattern: str
             at = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("node_id").take(at), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]],
                                              names=["node_id", "piece", "start", "length", "ids_crc32"])
+        del tok
+        hand_back()
 
     t = texts.select("node_id", "text")
     return t.mapInArrow(run, PIECES.format(id=t.schema["node_id"].dataType.simpleString()))
