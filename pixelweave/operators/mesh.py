@@ -293,23 +293,23 @@ def _in_cells(t: DataFrame, w: int, h: int) -> DataFrame:
     t = t.withColumns(box)
     w0, w1, _ = _weights(d("_xa") + 0.5, d("_ya") + 0.5)
     t = t.select("*", F.inline(F.array(F.struct(w0.alias("_b0"), w1.alias("_b1")))))
-    return t.filter((F.col("_m") >= 0.5) | (F.least(*[_bound(k, F.greatest) for k in range(3)]) >= -F.col("_m")))
+    return t.filter((F.col("_m") >= 0.5) | (F.least(*[_bound(k, "greatest") for k in range(3)]) >= -F.col("_m")))
 
 
-def _linear(k: int | str) -> tuple[Column, Column, Column]:
+def _linear(k: int | str) -> tuple[str, str, str]:
     """Value at a cell's first pixel and slopes: of weight k, or of the nearness ("t")."""
     if k == "t":
         parts = [_linear(i) for i in range(3)]
-        return tuple(sum((p[j] * F.col(f"t{i}") for i, p in enumerate(parts)), d(0)) for j in range(3))
+        return tuple("(" + " + ".join(f"{p[j]} * t{i}" for i, p in enumerate(parts)) + ")" for j in range(3))
     if k == 2:
-        return d(1) - F.col("_b0") - F.col("_b1"), -F.col("_gx0") - F.col("_gx1"), -F.col("_gy0") - F.col("_gy1")
-    return F.col(f"_b{k}"), F.col(f"_gx{k}"), F.col(f"_gy{k}")
+        return "(1D - _b0 - _b1)", "(-_gx0 - _gx1)", "(-_gy0 - _gy1)"
+    return f"_b{k}", f"_gx{k}", f"_gy{k}"
 
 
-def _bound(k: int | str, side) -> Column:
-    """Least (``F.least``) or greatest (``F.greatest``) value over a cell's pixels."""
+def _bound(k: int | str, side: str) -> Column:
+    """``least`` or ``greatest`` value over a cell's pixels."""
     base, gx, gy = _linear(k)
-    return base + side(d(0), gx * (F.col("_xb") - F.col("_xa"))) + side(d(0), gy * (F.col("_yb") - F.col("_ya")))
+    return F.expr(f"{base} + {side}(0D, {gx} * (_xb - _xa)) + {side}(0D, {gy} * (_yb - _ya))")
 
 
 def _slack() -> Column:
@@ -326,8 +326,8 @@ def cell_floors(t: DataFrame, w: int, h: int) -> DataFrame:
     """
     cell = ["mesh_id", "view", "_ty", "_tx", "_cy", "_cx"]
     big = _in_cells(_in_tiles(t.filter(F.abs("_area") >= 8 * CELL * CELL)), w, h).filter("_m < 0.5")
-    inside = F.least(*[_bound(k, F.least) for k in range(3)]) >= F.col("_m")
-    whole = big.filter(inside).select(*cell, (_bound("t", F.least) - _slack()).alias("floor"))
+    inside = F.least(*[_bound(k, "least") for k in range(3)]) >= F.col("_m")
+    whole = big.filter(inside).select(*cell, (_bound("t", "least") - _slack()).alias("floor"))
     edge = big.filter(~inside)
     edge = edge.withColumn("y", F.explode(F.sequence("_ya", "_yb"))).withColumn("x", F.explode(F.sequence("_xa", "_xb")))
     w0, w1, w2 = _weights(d("x") + 0.5, d("y") + 0.5)
@@ -350,7 +350,7 @@ def visible_cells(t: DataFrame, w: int, h: int) -> DataFrame:
     key = ["mesh_id", "view", "_ty", "_tx"]
     c = _in_cells(_in_tiles(t).join(cell_floors(t, w, h), key, "left"), w, h)
     floor = F.try_element_at("floors", F.col("_cy") * (1 << 24) + F.col("_cx"))
-    hidden = (F.col("_m") < 0.5) & (F.least(_bound("t", F.greatest), F.col("_top")) + _slack() < floor)
+    hidden = (F.col("_m") < 0.5) & (F.least(_bound("t", "greatest"), F.col("_top")) + _slack() < floor)
     return c.filter(~F.coalesce(hidden, F.lit(False))).drop("floors", "_ty", "_tx", "_b0", "_b1")
 
 
